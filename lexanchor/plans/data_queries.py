@@ -44,13 +44,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw AS (
       SELECT mention_id, list_filter(list_transform(
           regexp_extract_all(regexp_replace(id_kb, ' (et|and|ou|or) ', ' ; ', 'g'),
-            '"(?:[^"]|"")*"|''[^'']*''|[^,;|/&:+\n\r\t\[\](){}"'']+'), x -> trim(x)), x -> x <> '') AS parts
+            '"(?:[^"]|"")*"|''[^'']*''|[^,;|/&:+\n\r\t\[\](){}"'']+'), lambda x: trim(x)), lambda x: x <> '') AS parts
       FROM src),
     clean AS (
-      SELECT mention_id, list_filter(list_transform(parts, x -> trim(CASE
+      SELECT mention_id, list_filter(list_transform(parts, lambda x: trim(CASE
           WHEN length(x) > 1 AND x[1] = '"' AND x[-1] = '"' THEN replace(x[2:-2], '""', '"')
           WHEN length(x) > 1 AND x[1] = '''' AND x[-1] = '''' THEN x[2:-2]
-          ELSE x END)), x -> x <> '') AS parts
+          ELSE x END)), lambda x: x <> '') AS parts
       FROM raw)
     SELECT DISTINCT mention_id, CAST(i - 1 AS BIGINT) AS pos, parts[i] AS item
     FROM (SELECT mention_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM clean WHERE len(parts) >= 2)
