@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexanchor.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +23,13 @@ class Registry:
         def register(fn: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} is registered twice")
-            self.queries[name] = fn
+
+            @wraps(fn)
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship_package(spark)
+                return fn(spark, sf_dir)
+
+            self.queries[name] = run
             if sql is not None:
                 self.sql[name] = sql
             return fn

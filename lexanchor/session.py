@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +29,22 @@ def build_session(master: str = "local[*]", app: str = "lexanchor", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_lexanchor_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="lexanchor-")  # read by the driver only, which serves it to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "lexanchor_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+        for path in sorted(root.rglob("*.py")):
+            file.write(path, path.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._lexanchor_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables; pruning and pushdown are left to Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
