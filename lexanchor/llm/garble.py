@@ -59,6 +59,18 @@ TO_BYTE = {name: _to_byte(name) for name in READ_AS}
 TO_CHAR = {name: {b: c for c, b in table.items()} for name, table in TO_BYTE.items()}
 
 
+def _sequences(table: dict[str, int]) -> str:
+    """A pattern of two characters whose bytes may begin a UTF-8 sequence."""
+    leads = "".join(c for c, b in table.items() if 0xC2 <= b <= 0xF4)
+    following = "".join(c for c, b in table.items() if 0x80 <= b <= 0xBF)
+    return f"[{re.escape(leads)}][{re.escape(following)}]"
+
+
+#: For each encoding the encodings' quick test, and one for all: most texts have no such sequence.
+HAS_SEQUENCE = {name: re.compile(_sequences(table)) for name, table in TO_BYTE.items()}
+HAS_ANY = re.compile("|".join(_sequences(table) for table in TO_BYTE.values()))
+
+
 def _utf8_run(run: str, table: dict[str, int]) -> str:
     """The run with every valid UTF-8 sequence of the characters' bytes decoded."""
     codes = [table.get(c, 0) for c in run]
@@ -80,9 +92,11 @@ def _utf8_run(run: str, table: dict[str, int]) -> str:
 
 def undo_utf8(text: str) -> str:
     """UTF-8 read as a single-byte encoding, undone by the first encoding that explains the text; no model."""
-    if text.isascii():
+    if text.isascii() or not HAS_ANY.search(text):
         return text
     for encoding in READ_AS:
+        if not HAS_SEQUENCE[encoding].search(text):
+            continue
         table = TO_BYTE[encoding]
         fixed = _RUN.sub(lambda m, t=table: _utf8_run(m.group(), t), text)
         if fixed != text:
@@ -100,7 +114,11 @@ def mask_garbled(text: str, mask: str = "e") -> str:
     if text.isascii():
         return text
     text = re.sub("[Ãã]\xa0", mask, text)
+    if not HAS_ANY.search(text):
+        return text
     for encoding in READ_AS:
+        if not HAS_SEQUENCE[encoding].search(text):
+            continue
         table = TO_BYTE[encoding]
 
         def put(match: re.Match, table: dict = table) -> str:
@@ -245,7 +263,9 @@ def restore_text(model: Model, text: str) -> tuple[str, bool]:
 
 
 def _looks_clean(text: str) -> bool:
-    return _LOST.search(text) is None and all(
+    if _LOST.search(text) is not None:
+        return False
+    return not HAS_ANY.search(text) or all(
         _RUN.sub(lambda m, t=TO_BYTE[e]: _utf8_run(m.group(), t), text) == text for e in ("cp1252", "mac_roman", "cp437")
     )
 
