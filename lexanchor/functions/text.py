@@ -190,7 +190,7 @@ ARTIFACTS = {
     "literal_escape": lambda t: t.rlike(ESCAPES),
     "html_entity": lambda t: t.rlike(r"&(?:[a-zA-Z]+|#\d+);"),
     "control_char": lambda t: t.rlike(r"[\x00-\x1f\x7f]"),
-    "nbsp_or_zerowidth": lambda t: t.rlike(r"[ ​‌‍﻿]"),
+    "nbsp_or_zerowidth": lambda t: t.rlike(r"[\u00a0\u200b\u200c\u200d\ufeff]"),
     "double_space": lambda t: F.contains(t, F.lit("  ")),
     "long_dash": lambda t: t.rlike("[–—]"),
     "edge_punct": lambda t: t.rlike(r"^[^\p{L}\p{N}]|[^\p{L}\p{N}]\z"),

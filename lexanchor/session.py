@@ -50,6 +50,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over as many partitions as a shuffle has, for costly Python stages.
+
+    Adaptive execution sizes partitions by bytes, which leaves a stage of few bytes but much
+    work per row in one task; a fixed number of partitions isn't coalesced.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that it survives lost executors.
 
