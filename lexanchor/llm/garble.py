@@ -29,7 +29,7 @@ TRI_BITS, BI_BITS = 20, 16
 CLASSES = 3072
 #: Words drawn for the validation of the margin, a documented bound.
 VALIDATION_WORDS = 4000
-MARGINS = (1.0, 2.0, 3.0, 4.0, 5.0)
+MARGINS = (1.0, 2.0, 3.0, 4.0)
 #: How much commoner the rarest character of a restored word must be than that of the garbled one, by kind of chain.
 COMMONER = {"utf8": 1.0, "single": 3.0}
 #: Log prior of a chain's kind: a valid UTF-8 sequence hardly ever comes about by chance.
@@ -154,12 +154,17 @@ def _same_kind(before: str, after: str) -> bool:
     return True
 
 
-def candidates(word: str) -> dict[str, str]:
+def may_be_utf8(plain: str) -> bool:
+    """Whether any chain of UTF-8 can apply to the word, as it is or lower-cased after the wrong decoding."""
+    return bool(HAS_ANY.search(plain) or HAS_ANY.search(plain.upper()) or plain.endswith(("Ã", "ã")))
+
+
+def candidates(word: str, utf8: bool = True, single: bool = True) -> dict[str, str]:
     """What the word may have been, by every chain that is possible on it, with the kind of chain."""
     found: dict[str, str] = {}
     plain = word.translate(ZERO_WIDTH)
     raised = _RUN.sub(lambda m: m.group().upper(), plain)
-    for encoding in READ_AS:
+    for encoding in READ_AS if utf8 else ():
         table = TO_BYTE[encoding]
         for form, lower in ((plain, False), (raised, True)):
             if form == plain and lower:
@@ -173,7 +178,7 @@ def candidates(word: str) -> dict[str, str]:
             again = _RUN.sub(lambda m, t=table: _utf8_run(m.group(), t), fixed)
             if again != fixed:
                 found[again.lower() if lower else again] = "utf8"
-    for read, written in SINGLE_BYTE:
+    for read, written in SINGLE_BYTE if single else ():
         table, back = TO_BYTE[read], TO_CHAR[written]
         fixed = _RUN.sub(lambda m, t=table, b=back: "".join(b.get(t.get(c, -1), c) for c in m.group()), plain)
         if fixed != plain and _same_kind(plain, fixed):
@@ -205,6 +210,7 @@ class Model:
     single: np.ndarray
     margin: float = 4.0
     kept: dict = field(default_factory=dict)
+    commoner: dict = field(default_factory=dict)
 
     def log_likelihood(self, word: str) -> float:
         """Interpolated trigram log-probability of the word between two spaces."""
@@ -222,14 +228,28 @@ class Model:
         beyond = _RUN.findall(word)
         return float(self.single[_classes("".join(beyond))].min()) + 0.05 if beyond else float("inf")
 
+    def replaceable(self, word: str) -> bool:
+        """Whether a single-byte chain puts a much commoner character for the rarest one; none can succeed otherwise."""
+        counts = {c: self.single[_classes(c)[0]] + 0.05 for c in word if c > "\x7f"}
+        rarest = min(counts, key=counts.get)
+        known = self.commoner.get(rarest)
+        if known is None:
+            others = [TO_CHAR[written].get(TO_BYTE[read].get(rarest, -1)) for read, written in SINGLE_BYTE]
+            most = max((self.single[_classes(c)[0]] + 0.05 for c in others if c and c != rarest), default=0.0)
+            known = self.commoner[rarest] = bool(most >= COMMONER["single"] * counts[rarest])
+        return known
+
     def best(self, word: str) -> tuple[str, float]:
         """The likeliest candidate of commoner characters and its gain over the word as it stands."""
         plain = word.translate(ZERO_WIDTH)
         floor = self.rarest(plain)
         if floor > self.single[128:].max():
             return word, 0.0
+        utf8, single = may_be_utf8(plain), self.replaceable(plain)
+        if not utf8 and not single:
+            return word, 0.0
         chosen, gain, stands = word, 0.0, self.log_likelihood(plain)
-        for candidate, kind in candidates(word).items():
+        for candidate, kind in candidates(word, utf8, single).items():
             if self.rarest(candidate) >= floor * COMMONER[kind] and not _LOST.search(candidate):
                 more = self.log_likelihood(candidate) - stands + PRIOR[kind]
                 if more > gain:
@@ -253,13 +273,24 @@ class Model:
         return {**self.__dict__, "kept": {}}
 
 
+_BEYOND = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
+
+
 def restore_text(model: Model, text: str) -> tuple[str, bool]:
     """The text with garbled words restored, and whether it is a case: any word changed or lost."""
     if text.isascii():
         return text, False
-    parts = _SPLIT.split(text)
-    restored = [model.restore(p) if i % 2 == 0 else p for i, p in enumerate(parts)]
-    return "".join(restored), restored != parts or _LOST.search("".join(restored)) is not None
+    kept, changed = model.kept, False
+    for word in _BEYOND.findall(text):
+        known = kept.get(word)
+        if known is None:
+            known = model.restore(word)
+        if known is not word and known != word:
+            changed = True
+            break
+    if changed:
+        text = _BEYOND.sub(lambda m: model.restore(m.group()), text)
+    return text, changed or _LOST.search(text) is not None
 
 
 def _looks_clean(text: str) -> bool:
