@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lexanchor.llm.garble import undo_utf8
 from lexanchor.llm.lookalike import canonical
 from lexanchor.llm.words import fold
-from lexanchor.session import cut_lineage
+from lexanchor.session import cut_lineage, spread
 
 GRAM_BITS = 18
 #: Cosine from which an entry is taken, the least margin over the next one, and the grey zone with its edit share.
@@ -172,8 +172,8 @@ def link_values(
         for pdf in batches:
             yield pdf.assign(key=[normalise(v) for v in pdf["value"]])
 
-    distinct = cut_lineage(rows.select("value", "kind").distinct().mapInPandas(keyed, "value string, kind string, key string"))
-    keys = distinct.select("key", "kind").distinct()
+    distinct = cut_lineage(spread(rows.select("value", "kind").distinct()).mapInPandas(keyed, "value string, kind string, key string"))
+    keys = spread(distinct.select("key", "kind").distinct())
     listed = entries.select(
         F.col(entry_id).cast("string").alias("id"), F.col(entry_name).alias("name"), F.col(entry_kind).alias("kind")
     ).where("id is not null and name is not null")
