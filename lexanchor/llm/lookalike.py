@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lexanchor.llm.garble import mask_garbled
 from lexanchor.llm.words import INVISIBLE, strip_marks
+from lexanchor.session import spread
 
 # Letters of other scripts and the Latin letters that they look like.
 LOOKS = {
@@ -249,7 +250,7 @@ def canonical_tokens(values: DataFrame) -> DataFrame:
             )
 
     counted = (
-        values.mapInPandas(tokens, "token string, key string, odd boolean, n long")
+        spread(values).mapInPandas(tokens, "token string, key string, odd boolean, n long")
         .groupBy("token", "key", "odd")
         .agg(F.sum("n").alias("n"))
     )
@@ -299,5 +300,5 @@ def lookalike_rows(tables: DataFrame) -> DataFrame:
         .groupBy("value")
         .agg(F.collect_list(F.when(F.col("canonical").isNotNull(), F.struct("token", "canonical", "matched"))).alias("found"))
     )
-    cases = found.mapInPandas(_decide, "value string, canonical string")
+    cases = spread(found).mapInPandas(_decide, "value string, canonical string")
     return rows.where(F.col("value").rlike(SUSPECT)).join(cases, "value").select("tbl", "row_id", "value", "canonical").distinct()
