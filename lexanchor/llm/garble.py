@@ -154,6 +154,29 @@ def _same_kind(before: str, after: str) -> bool:
     return True
 
 
+_IN_WORD = re.compile("[A-Za-z][‚ŠŒ“”ˆ‰™Žš…†‡×–\x80-\x9f][a-z]")
+# Letters that restored text should hold.
+_LETTERS = frozenset("éèêàâîôùûçïëÉÈÊÀÂÎÔÇ")
+
+
+def undo_any(text: str) -> str:
+    """Wrong decodings undone without a model: UTF-8 sequences, else one single-byte chain for the whole text."""
+    text = undo_utf8(text)
+    if text.isascii() or not _IN_WORD.search(text):
+        return text
+
+    def gain(form: str) -> int:
+        return sum(1 if c in _LETTERS else -1 for c in form if c > "\x7f" and not c.isspace())
+
+    best, most = text, gain(text) + 2
+    for read, written in SINGLE_BYTE:
+        table, back = TO_BYTE[read], TO_CHAR[written]
+        form = "".join(c if c <= "\x7f" else back.get(table.get(c, -1), c) for c in text)
+        if gain(form) > most:
+            best, most = form, gain(form)
+    return best
+
+
 def may_be_utf8(plain: str) -> bool:
     """Whether any chain of UTF-8 can apply to the word, as it is or lower-cased after the wrong decoding."""
     return bool(HAS_ANY.search(plain) or HAS_ANY.search(plain.upper()) or plain.endswith(("Ã", "ã")))
