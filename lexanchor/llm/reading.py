@@ -58,11 +58,12 @@ def _code(word: str, kept: dict[str, int]) -> int:
 
 def features(text: str, counts: np.ndarray, kept: dict[str, int]) -> list[float] | None:
     """The features of a text, or None if it has no word."""
-    words = _WORD.findall(text)
-    if not words:
+    sentences = [found for part in _SENTENCE.split(text) if (found := _WORD.findall(part))]
+    if not sentences:
         return None
+    words = [w for found in sentences for w in found]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    sizes = np.array([n for s in _SENTENCE.split(text) if (n := len(_WORD.findall(s)))] or [len(words)])
+    sizes = np.array([len(found) for found in sentences])
     codes = np.fromiter((_code(w, kept) for w in words), np.int64, len(words))
     rarity = -np.log(np.maximum(counts[codes >> 1], 1.0) / max(float(counts[-1]), 1.0))
     joined = int((codes & 1).sum())
