@@ -80,7 +80,6 @@ def ask(questions: DataFrame, model: Model, config: RerankConfig) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
             for vote in range(config.votes):
                 replies = []
                 for text, n in zip(pdf["prompt"], pdf["n"], strict=True):
@@ -88,8 +87,7 @@ def ask(questions: DataFrame, model: Model, config: RerankConfig) -> DataFrame:
                         replies.append(model(text, int(n)))
                     except Exception:
                         replies.append(None)
-                parts.append(pdf.assign(vote=vote, reply=replies))
-            yield pd.concat(parts)
+                yield pdf.assign(vote=vote, reply=replies)
 
     return questions.mapInPandas(run, schema)
 

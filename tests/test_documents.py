@@ -108,6 +108,18 @@ def test_rerank_states(spark, reply, status, chosen):
     assert rows(R.rerank(q, model, R.RerankConfig(), ["key"])) == [("k", "none", "f")]
 
 
+def test_several_calls_a_question(spark):
+    said = {"p": ["1", "0", "0"], "q": ["x", "", "1"]}
+    q = spark.createDataFrame([("k", "p", 2, ["a", "b"], "f"), ("l", "q", 2, ["c", "d"], "f")], "key string, prompt string, n int, ids array<string>, fallback string")
+    count: dict = {}
+
+    def model(text, n):
+        count[text] = count.get(text, -1) + 1
+        return said[text][count[text]]
+
+    assert rows(R.rerank(q.coalesce(1), model, R.RerankConfig(enabled=True, votes=3), ["key"])) == [("k", "chosen", "a"), ("l", "chosen", "d")]
+
+
 def test_votes(spark):
     votes = [("k", 0, "chosen", 1), ("k", 1, "chosen", 0), ("k", 2, "chosen", 0), ("t", 0, "chosen", 5), ("t", 1, "chosen", 4), ("x", 0, "none", None)]
     df = spark.createDataFrame(votes, "key string, vote int, status string, index int")
