@@ -346,7 +346,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total["single"] += np.bincount(c, minlength=sizes["single"])
     for kind, counts in total.items():
         at = np.flatnonzero(counts)
-        yield pd.DataFrame({"kind": kind, "bucket": at, "n": counts[at]})
+        if len(at):
+            yield pd.DataFrame({"kind": kind, "bucket": at, "n": counts[at]})
 
 
 def _garble(word: str, read: str, written: str) -> str | None:

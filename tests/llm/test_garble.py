@@ -45,4 +45,5 @@ def test_rows(spark, model):
 
 
 def test_fit_on_nothing(spark):
+    assert G.fit(spark.createDataFrame([("dÃ©cÃ¨s",), ("",), (None,)], "text string").repartition(4)).restore("été") == "été"
     assert G.fit(spark.createDataFrame([], "text string")).restore("été") == "été"
