@@ -422,7 +422,8 @@ def restore_rows(df: DataFrame, model: Model, id_col: str, text_col: str) -> Dat
                 if case:
                     keys.append(key)
                     out.append(fixed)
-            yield pd.DataFrame({"row_id": keys, "restored": out})
+            if keys:
+                yield pd.DataFrame({"row_id": keys, "restored": out})
 
     source = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
     return source.mapInPandas(run, f"row_id {id_type}, restored string").distinct()

@@ -208,7 +208,8 @@ def find_leaks(
                     size += len(pending[-1])
                     if size > BLOCK_WORDS or k == len(keys) - 1:
                         hits = leaks(index, pending, rules)
-                        yield pd.DataFrame({"doc_id": [keys[first + d] for d, _ in hits], "item_id": [index.item_ids[i] for _, i in hits]})
+                        if hits:
+                            yield pd.DataFrame({"doc_id": [keys[first + d] for d, _ in hits], "item_id": [index.item_ids[i] for _, i in hits]})
                         pending, size, first = [], 0, k + 1
 
         return run

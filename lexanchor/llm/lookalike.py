@@ -275,7 +275,8 @@ def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 spelt = {unicodedata.normalize("NFC", t): c for t, c in matched.items()}
                 values.append(value)
                 forms.append(_TOKEN.sub(lambda m, s=spelt: s.get(m.group()) or normalise_token(m.group()), text).translate(DROP))
-        yield pd.DataFrame({"value": values, "canonical": forms})
+        if values:
+            yield pd.DataFrame({"value": values, "canonical": forms})
 
 
 def lookalike_rows(tables: DataFrame) -> DataFrame:

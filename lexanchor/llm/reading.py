@@ -197,7 +197,8 @@ def _features_of(counts):
                 if found is not None:
                     keys.append(key)
                     rows.append(found)
-            yield pd.DataFrame({"doc_id": keys, "x": rows})
+            if keys:
+                yield pd.DataFrame({"doc_id": keys, "x": rows})
 
     return run
 
@@ -239,7 +240,6 @@ def reading_levels(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _features_of(counts)(batches):
-            bands = model.value.bands(np.stack(pdf["x"].to_numpy())) if len(pdf) else np.empty(0, np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": bands})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": model.value.bands(np.stack(pdf["x"].to_numpy()))})
 
     return source.mapInPandas(run, f"doc_id {id_type}, band long").distinct()

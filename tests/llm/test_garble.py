@@ -44,6 +44,11 @@ def test_rows(spark, model):
     assert rows(G.restore_rows(df.limit(0), model, "doc_idx", "text")) == []
 
 
+def test_no_case_at_all(spark, model):
+    df = spark.createDataFrame([("a", "décès"), ("b", "été"), ("c", "plain")], "mention_id string, text string")
+    assert rows(G.restore_rows(df, model, "mention_id", "text")) == []
+
+
 def test_fit_on_nothing(spark):
     assert G.fit(spark.createDataFrame([("dÃ©cÃ¨s",), ("",), (None,)], "text string").repartition(4)).restore("été") == "été"
     assert G.fit(spark.createDataFrame([], "text string")).restore("été") == "été"

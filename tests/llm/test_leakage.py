@@ -58,6 +58,13 @@ def test_equals_brute_force():
     assert len(want) > 15 and L.leaks(index, texts) == want
 
 
+def test_no_leak_and_text_keys(spark):
+    docs = spark.createDataFrame([("a", "un texte"), ("b", None)], "doc_id string, text string")
+    held = spark.createDataFrame([("x", " ".join(f"w{k}" for k in range(30)))], "item_id string, text string")
+    assert rows(L.find_leaks(docs, held)) == []
+    assert rows(L.find_leaks(docs.unionByName(held.withColumnRenamed("item_id", "doc_id")), held)) == [("x", "x")]
+
+
 def test_query_form_and_blocks(spark):
     items, texts = make()
     passage = " ".join(items[0][1][:18])

@@ -34,6 +34,11 @@ def test_trie_costs():
     assert trie.best("zzz") is None and trie.best("fièvrex") is None
 
 
+def test_no_case_at_all(spark):
+    df = spark.createDataFrame([("entities", "a", "фишагагу"), ("entities", "b", "α-darvegaine")], "tbl string, row_id string, value string")
+    assert rows(K.lookalike_rows(df)) == []
+
+
 def test_rows(spark):
     values = ["Port Quulzarac", "Port Quulzarас", "саѕ", "cas", "соус", "Ｐｏｒｔ", None, "", "α-x"] + ["autre"] * 50 + ["autrе"] * 20
     data = [("entities", k, v, 1) for k, v in enumerate(values)] + [("entities", 1, values[1], 1)]

@@ -20,6 +20,11 @@ def test_ordinal_model_recovers_thresholds():
     assert (np.diff(model.thresholds) > 0).all()
 
 
+def test_wordless_documents_only(spark):
+    df = spark.createDataFrame([("a", "12"), ("b", "?!")], "doc_id string, text string")
+    assert rows(R.reading_levels(df, spark.createDataFrame([("a", "r", 1)], "doc_id string, rater string, band int"))) == []
+
+
 def test_query_form(spark):
     rng = random.Random(0)
     docs, labels = [], []
