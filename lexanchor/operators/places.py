@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexanchor.functions import text as T
 from lexanchor.functions.geo import haversine_km, population_ratio
 from lexanchor.operators import cascade as C
+from lexanchor.session import cut_lineage
 
 # Feature codes that are always kept, of countries, of administrative units, of seats.
 KEPT_CODES = ("PCLI", "PCLD", "PCLF", "ADM1", "ADM2", "RGN", "PPLC", "PPLA", "PPLA2", "PPLA3")
@@ -46,8 +47,11 @@ def candidate_pool(keys: DataFrame, names: DataFrame, places: DataFrame, by: lis
 
     ``pool_rank`` gives a total order: kept codes first, population, then the id.
     """
-    by = by or ["key"]
-    found = keys.join(names, "key").join(places, "geonameid")
+    return rank_pool(keys.join(names, "key").join(places, "geonameid"), by or ["key"])
+
+
+def rank_pool(found: DataFrame, by: list[str]) -> DataFrame:
+    """R1 of candidates that are joined already."""
     kept = F.coalesce(F.col("feature_code").isin(*KEPT_CODES), F.lit(False))
     found = found.withColumn("kept", kept)
     people = F.col("population").desc_nulls_last()
@@ -114,14 +118,16 @@ def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallba
     fallback stages skip roads and buildings.
     """
     mentions = mentions.select("mention").where("mention is not null").distinct()
-    keys = C.place_keys(mentions, fallbacks)
-    classed = names.join(places.select("geonameid", "feature_class"), "geonameid")
+    keys = cut_lineage(C.place_keys(mentions, fallbacks))
+    # the dimensions are cut to the mentions' keys before they meet each other
+    hits = names.join(keys.select("key").distinct(), "key", "left_semi")
+    candidates = cut_lineage(hits.join(places, "geonameid"))  # read three times below
     solid = ~F.coalesce(F.col("feature_class").isin("R", "S"), F.lit(False))
-    known = classed.groupBy("key").agg(F.max(solid).alias("solid"))
+    known = candidates.groupBy("key").agg(F.max(solid).alias("solid"))
     hit = keys.join(known, "key").where((F.col("stage") < C.BARE) | F.col("solid"))
     first = hit.groupBy("mention").agg(F.min(F.struct("stage", "key")).alias("s")).select("mention", "s.stage", "s.key")
     first = first.withColumns({"wants_admin": T.wants_admin("mention"), "guarded": F.col("stage") >= C.BARE})
     by = ["key", "wants_admin", "guarded"]
-    pool = candidate_pool(first.select(*by).distinct(), names, places, by)
-    pool = pool.where(~F.col("guarded") | ~F.coalesce(F.col("feature_class").isin("R", "S"), F.lit(False)))
+    pool = rank_pool(first.select(*by).distinct().join(candidates, "key"), by)
+    pool = pool.where(~F.col("guarded") | solid)
     return first.join(choose_place(pool, by), by).select("mention", "stage", "key", "first_choice", "geonameid", "n_candidates")
