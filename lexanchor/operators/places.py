@@ -60,12 +60,29 @@ def rank_pool(found: DataFrame, by: list[str]) -> DataFrame:
         found.withColumn("_all", F.row_number().over(w.orderBy(people, "geonameid")))
         .where(F.col("kept") | (F.col("_all") <= POOL_SIZE))
         .withColumn("pool_rank", F.row_number().over(w.orderBy(F.col("kept").desc(), people, "geonameid")))
+        .withColumn("pool_order", F.col("pool_rank"))
         .drop("_all")
     )
 
 
+def pool_rows(found: DataFrame, by: list[str], salts: int = 64) -> DataFrame:
+    """R1 without numbering the pool: the same rows with ``pool_order``, which sorts as ``pool_rank`` does.
+
+    No task sees a whole group: kept codes pass without a window, and the most populous are
+    found within salted parts of the group first.
+    """
+    found = found.withColumn("kept", F.coalesce(F.col("feature_code").isin(*KEPT_CODES), F.lit(False)))
+    order = [F.col("population").desc_nulls_last(), F.col("geonameid")]
+    parts = found.withColumn("_salt", F.pmod(F.xxhash64("geonameid"), F.lit(salts)))
+    top = C.ranked(parts, [*by, "_salt"], order, "_r").where(F.col("_r") <= POOL_SIZE).drop("_r", "_salt")
+    top = C.ranked(top, by, order, "_r").where((F.col("_r") <= POOL_SIZE) & ~F.col("kept")).drop("_r")
+    people = F.col("population")
+    key = F.struct((~F.col("kept")).alias("k"), people.isNull().alias("u"), (-F.coalesce(people, F.lit(0))).alias("p"), F.col("geonameid").alias("id"))
+    return found.where("kept").unionByName(top).withColumn("pool_order", key)
+
+
 def heuristic_order(wants: str = "wants_admin") -> list:
-    """R3 as one total order: country, wanted unit, inhabited and no ADM3, inhabited, the rest."""
+    """R3 as one total order: country, wanted unit, inhabited and no ADM3, inhabited, the rest; then the pool's order."""
     code, people = F.col("feature_code"), F.coalesce("population", F.lit(0))
     tier = (
         F.when(code.isin(*COUNTRY_CODES), 0)
@@ -78,37 +95,43 @@ def heuristic_order(wants: str = "wants_admin") -> list:
 
 
 def choose_place(pool: DataFrame, by: list[str]) -> DataFrame:
-    """The chosen id per group of a pool with ``wants_admin``, and the id before reconciliation."""
-    w = Window.partitionBy(*by)
-    pool = pool.withColumn("n", F.count("*").over(w)).withColumn("h", F.row_number().over(w.orderBy(*heuristic_order())))
-    chosen = F.max(F.when(F.col("h") == 1, F.struct(*PLACE_COLUMNS))).over(w)
-    pool = pool.withColumn("c", chosen)
+    """The chosen id per group of a pool with ``wants_admin`` and ``pool_order``, and the id before reconciliation.
+
+    Two aggregations that combine before the shuffle, with the first choice joined back between
+    them; no window holds a group.
+    """
+    tier, size = heuristic_order()[:2]
+    first = pool.groupBy(*by).agg(
+        F.count("*").alias("n"), F.max("wants_admin").alias("wants"),
+        F.min(F.struct(tier.alias("t"), size.alias("s"), "pool_order", F.struct(*PLACE_COLUMNS).alias("c"))).alias("m"),
+    ).select(*by, "n", "wants", "m.c")
     here = F.col("c.latitude").isNotNull() & F.col("c.longitude").isNotNull()
     near = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (
         haversine_km(F.col("c.latitude"), F.col("c.longitude"), F.col("latitude"), F.col("longitude")) < SAME_PLACE_KM
     )
     namesake = F.col("country_code").eqNullSafe(F.col("c.country_code")) & T.head_token("name").eqNullSafe(T.head_token("c.name"))
-    pool = pool.withColumn("same", F.when(here, near).otherwise(namesake))
+    both = pool.join(first.select(*by, "c"), by)
+    same = both.where(F.when(here, near).otherwise(namesake))
 
     def best(condition):
-        size = F.struct(F.coalesce("population", F.lit(0)).alias("p"), (-F.col("pool_rank")).alias("r"), F.col("geonameid").alias("id"))
-        return F.max(F.when(F.col("same") & condition, size))
+        people = F.coalesce("population", F.lit(0))
+        return F.min(F.when(condition, F.struct((-people).alias("p"), "pool_order", F.col("geonameid").alias("id"))))
 
     code = F.col("feature_code")
-    grouped = pool.groupBy(*by).agg(
-        F.first("c").alias("c"), F.first("n").alias("n"), F.first("wants_admin").alias("wants"), F.count_if("same").alias("n_same"),
-        best(code.isin(*ADMIN_CODES)).alias("admin"), best(code.isin(*SEAT_CODES)).alias("seat"), best(code == "ADM4").alias("adm4"),
-    )
-    twin = (F.col("c.feature_code") == "PPL") & (population_ratio(F.col("adm4.p"), F.col("c.population")) > SAME_POPULATION)
+    found = same.groupBy(*by).agg(
+        F.count("*").alias("n_same"), best(code.isin(*ADMIN_CODES)).alias("admin"), best(code.isin(*SEAT_CODES)).alias("seat"), best(code == "ADM4").alias("adm4")
+    )
+    grouped = first.join(found, by, "left")
+    twin = (F.col("c.feature_code") == "PPL") & (population_ratio(-F.col("adm4.p"), F.col("c.population")) > SAME_POPULATION)
     own = F.col("c.geonameid")
     final = (
-        F.when((F.col("n") == 1) | (F.col("n_same") <= 1), own)
+        F.when((F.col("n") == 1) | (F.coalesce("n_same", F.lit(0)) <= 1), own)
         .when(F.col("wants"), F.coalesce("admin.id", own))
         .when(F.col("seat").isNotNull(), F.col("seat.id"))
         .when(F.col("adm4").isNotNull() & twin, F.col("adm4.id"))
         .otherwise(own)
     )
-    return grouped.select(*by, own.alias("first_choice"), final.alias("geonameid"), F.col("n").cast("long").alias("n_candidates"))
+    return grouped.select(*by, own.alias("first_choice"), final.alias("geonameid"), F.col("n").alias("n_candidates"))
 
 
 def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallbacks: bool = True) -> DataFrame:
@@ -128,6 +151,6 @@ def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallba
     first = hit.groupBy("mention").agg(F.min(F.struct("stage", "key")).alias("s")).select("mention", "s.stage", "s.key")
     first = first.withColumns({"wants_admin": T.wants_admin("mention"), "guarded": F.col("stage") >= C.BARE})
     by = ["key", "wants_admin", "guarded"]
-    pool = rank_pool(first.select(*by).distinct().join(candidates, "key"), by)
+    pool = pool_rows(first.select(*by).distinct().join(candidates, "key"), by)
     pool = pool.where(~F.col("guarded") | solid)
     return first.join(choose_place(pool, by), by).select("mention", "stage", "key", "first_choice", "geonameid", "n_candidates")

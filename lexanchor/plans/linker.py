@@ -94,7 +94,7 @@ def by_exonym(mentions: DataFrame, exonyms: DataFrame, places: DataFrame) -> Dat
     keyed = mentions.select("mention", T.normalize("mention").alias("key"), T.wants_admin("mention").alias("wants_admin"))
     pool = keyed.join(exonyms.select("key", "ord", F.col("id").alias("geonameid")), "key").join(places, "geonameid")
     pool = pool.where("coalesce(feature_class, '') not in ('R', 'S')")
-    pool = C.ranked(pool, ["mention"], [F.col("ord"), F.col("geonameid")], "pool_rank")
+    pool = pool.withColumn("pool_order", F.struct("ord", "geonameid"))
     return P.choose_place(pool, ["mention"]).select("mention", "geonameid")
 
 

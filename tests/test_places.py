@@ -96,3 +96,18 @@ def test_first_hit(spark):
     d2 = spark.createDataFrame([("p", "P"), ("q", "Q")], "y string, v string")
     out = C.by_first_hit(m, [(["x"], d1, "v"), (["y"], d2, "v")], "id")
     assert rows(out.select("x", F.coalesce("id", F.lit("-")))) == [("a", "P"), ("b", "B"), ("c", "-")]
+
+
+def test_pool_without_windows_equals_the_numbered_one(spark):
+    rng = random.Random(7)
+    codes = ["PPL", "ADM4", "ADM3", "PPLC", "PPLA", "ADM1", "PCLI", "STM", None]
+    data = []
+    for k in range(900):
+        key = "hot" if k % 3 == 0 else f"k{rng.randrange(40)}"  # one key holds a third of the rows
+        at = rng.choice([(1.0, 1.0), (1.01, 1.0), (50.0, 3.0), (None, None)])
+        data.append((key, rng.random() < 0.5 if key != "hot" else True, f"{k:04d}", rng.choice(["A, x", "A", "B", None]), rng.choice(["FR", None]), "P", rng.choice(codes[:5] if key == "k1" else codes), rng.choice([0, 0, 5, 95, 100, None]), *at))
+    schema = "key string, wants_admin boolean, geonameid string, name string, country_code string, feature_class string, feature_code string, population long, latitude double, longitude double"
+    found = spark.createDataFrame(data, schema).repartition(4)
+    by = ["key", "wants_admin"]
+    assert P.pool_rows(found, by, 4).count() == P.rank_pool(found, by).count()
+    assert rows(P.choose_place(P.pool_rows(found, by, 4), by)) == rows(P.choose_place(P.rank_pool(found, by), by))
