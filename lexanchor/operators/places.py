@@ -152,5 +152,5 @@ def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallba
     first = first.withColumns({"wants_admin": T.wants_admin("mention"), "guarded": F.col("stage") >= C.BARE})
     by = ["key", "wants_admin", "guarded"]
     pool = pool_rows(first.select(*by).distinct().join(candidates, "key"), by)
-    pool = pool.where(~F.col("guarded") | solid)
+    pool = cut_lineage(pool.where(~F.col("guarded") | solid))  # read twice by the choice
     return first.join(choose_place(pool, by), by).select("mention", "stage", "key", "first_choice", "geonameid", "n_candidates")
