@@ -2,10 +2,11 @@
 
 Values are made distinct and normalised; candidates come from an inverted index of character
 n-grams (bigrams, trigrams and bigrams with a gap), scored by weighted cosine. A value is
-accepted above a threshold and a margin over the next entry; one in the grey zone below is
-accepted only if its best entry stands in it within a small edit distance. The weights are
-inverse frequencies over all distinct values, held in a table of fixed size; the list is
-broadcast in blocks, every block against all values.
+accepted above a threshold and a margin over the next entry, if the entry's most telling word
+stands in it within some edits; one in the grey zone below is accepted only if the whole entry
+stands in it within few. Weights are inverse frequencies over all distinct values of a
+background, held in tables of fixed size; the list is broadcast in blocks, every block against
+all values.
 """
 
 from __future__ import annotations
@@ -25,8 +26,14 @@ from lexanchor.llm.words import fold
 from lexanchor.session import cut_lineage, spread
 
 GRAM_BITS = 18
-#: Cosine from which an entry is taken, the least margin over the next one, and the grey zone with its edit share.
-ACCEPT, MARGIN, GREY, EDITS = 0.5, 0.03, 0.18, 0.27
+#: Cosine from which an entry is taken, the least margin over the next one, and the edits by length of its most telling word.
+ACCEPT, MARGIN, WORD_EDITS = 0.5, 0.03, 0.45
+#: Below it a clear lead is enough with a closer word: (least cosine, least margin, edits of the word by length).
+CLEAR = ((0.3, 0.15, 0.25), (0.3, 0.22, 0.35))
+#: The least cosine of the grey zone, and the edits by length of the whole entry and of its most telling word there.
+GREY, EDITS, GREY_WORD_EDITS = 0.2, 0.27, 0.25
+#: In the grey zone the value may be so much longer than the entry, not counting words that so many of all values have.
+LONGER, GENERIC = 1.5, 0.002
 #: Candidates of a value that are kept of each block of the list.
 TOP = 6
 #: Entries of the list that are broadcast at once.
@@ -54,6 +61,10 @@ def gram_counts(key: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(codes, return_counts=True)
 
 
+def word_codes(key: str) -> np.ndarray:
+    return np.unique(np.array([crc32(w.encode("utf-8", "replace")) >> (32 - GRAM_BITS) for w in key.split()], np.int64))
+
+
 def edits_within(entry: str, value: str) -> int:
     """Least edits, a swap of neighbours counting one, between the entry and any part of the value."""
     before, last = [0] * (len(value) + 1), [0] * (len(value) + 1)
@@ -75,11 +86,14 @@ def edits_within(entry: str, value: str) -> int:
 class ListIndex:
     """Inverted index of a block of the canonical list."""
 
-    def __init__(self, entries: list[tuple[str, str, str]], weights: np.ndarray):
+    def __init__(self, entries: list[tuple[str, str, str]], weights: np.ndarray, word_counts: np.ndarray, total: int):
         self.ids = [e[0] for e in entries]
         self.keys = [normalise(e[1]) for e in entries]
         self.kinds = np.array([e[2] or "" for e in entries], object)
         self.weights = weights
+        self.word_counts = word_counts
+        self.generic = GENERIC * total
+        self.telling = [self._telling(key, word_counts) for key in self.keys]
         owner, code, value = [], [], []
         for k, key in enumerate(self.keys):
             at, w = self.vector(key)
@@ -92,14 +106,20 @@ class ListIndex:
         self.value = np.concatenate(value)[order].astype(np.float32) if value else np.empty(0, np.float32)
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=1 << GRAM_BITS)))).astype(np.int64)
 
+    @staticmethod
+    def _telling(key: str, word_counts: np.ndarray) -> str:
+        """The word that is rarest for its length, of those longer than three letters."""
+        words = [w for w in key.split() if len(w) > 3] or [key]
+        return min(words, key=lambda w: (word_counts[word_codes(w)].sum() / max(1, len(w)), w))
+
     def vector(self, key: str) -> tuple[np.ndarray, np.ndarray]:
         at, n = gram_counts(key)
         w = np.sqrt(n) * self.weights[at]
         norm = float(np.sqrt((w * w).sum()))
         return at, w / norm if norm else w
 
-    def candidates(self, key: str, kind: str, top: int = TOP) -> list[tuple[float, float, str]]:
-        """(cosine, edits by the entry's length, id) of the best entries of the kind, best first."""
+    def candidates(self, key: str, kind: str, top: int = TOP) -> list[tuple[float, float, float, str]]:
+        """(cosine, edits by length of the entry and of its most telling word, id) of the best entries of the kind, best first."""
         if not key or not self.ids:
             return []
         at, w = self.vector(key)
@@ -114,36 +134,42 @@ class ListIndex:
         best = np.argsort(-scores, kind="stable")[: top + 1]
         out = []
         squeezed = key.replace(" ", "")
+        own = sum(len(w) for w in key.split() if self.word_counts[word_codes(w)].sum() < self.generic)
         for k in best[:top]:
             if scores[k] < GREY:
                 break
+            word = edits_within(self.telling[k], squeezed) / max(1, len(self.telling[k]))
             share = 1.0
-            if scores[k] < ACCEPT + 0.1:
+            if scores[k] < ACCEPT + 0.1 and word <= GREY_WORD_EDITS:
                 entry = self.keys[k].replace(" ", "")
-                share = edits_within(entry, squeezed) / max(1, len(entry))
-            out.append((float(scores[k]), share, self.ids[k]))
+                if own <= LONGER * len(entry):
+                    share = edits_within(entry, squeezed) / max(1, len(entry))
+            out.append((float(scores[k]), share, word, self.ids[k]))
         return out
 
 
-def decide(found: list[tuple[float, float, str]]) -> str:
+def decide(found: list[tuple[float, float, float, str]]) -> str:
     """The id of the accepted entry, or ''; equal scores go to the lesser id."""
-    found = sorted(found, key=lambda f: (-f[0], f[2]))
+    found = sorted(found, key=lambda f: (-f[0], f[3]))
     if not found:
         return ""
-    cosine, share, best = found[0]
+    cosine, _, word, best = found[0]
     second = found[1][0] if len(found) > 1 else 0.0
-    if cosine >= ACCEPT and cosine - second >= MARGIN:
-        return best
-    near = sorted((s, -c, i) for c, s, i in found if s <= EDITS)
+    for least, margin, edits in ((ACCEPT, MARGIN, WORD_EDITS), *CLEAR):
+        if cosine >= least and cosine - second >= margin and word <= edits:
+            return best
+    near = sorted((s, -c, i) for c, s, w, i in found if s <= EDITS and w <= GREY_WORD_EDITS)
     if near and (len(near) == 1 or near[0][0] < near[1][0] or near[0][1] < near[1][1]):
         return near[0][2]
     return ""
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(1 << GRAM_BITS, np.int64)
+    """Distinct values that have each hashed n-gram, and from the table's size on, each hashed word."""
+    total = np.zeros(2 << GRAM_BITS, np.int64)
     for pdf in batches:
-        found = [gram_counts(key)[0] for key in pdf["key"] if key]
+        keys = [key for key in map(normalise, pdf["value"]) if key]
+        found = [gram_counts(key)[0] for key in keys] + [word_codes(key) + (1 << GRAM_BITS) for key in keys]
         if found:
             at, n = np.unique(np.concatenate(found), return_counts=True)
             total[at] += n
@@ -158,12 +184,14 @@ def link_values(
     entry_name: str = "ref_name",
     entry_kind: str = "kind",
     block_entries: int = BLOCK_ENTRIES,
+    background: DataFrame | None = None,
 ) -> DataFrame:
     """``(tbl, row_id, ref_id)`` of every row of ``values(tbl, row_id, value, kind)``; '' where none is meant.
 
     ``kind`` restricts the entries; '' or null allows all. Null, empty and wordless values get
     ''; repeated rows come out once; a hot value is matched once and joined back; an empty list
     gives '' throughout. Entries that are null aren't matched; other columns are ignored.
+    ``background(value)`` is what frequencies are counted over, by default the values.
     """
     spark = values.sparkSession
     rows = values.select("tbl", "row_id", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("kind", F.lit("")).alias("kind")).distinct()
@@ -177,35 +205,38 @@ def link_values(
     listed = entries.select(
         F.col(entry_id).cast("string").alias("id"), F.col(entry_name).alias("name"), F.col(entry_kind).alias("kind")
     ).where("id is not null and name is not null")
-    counted = keys.select("key").mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = keys.count() + listed.count()
-    frequency = np.ones(1 << GRAM_BITS)
+    seen = spread((rows if background is None else background).select("value").where(F.length("value") > 0).distinct())
+    counted = seen.mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    entry_count = listed.count()
+    total = seen.count() + entry_count
+    frequency = np.ones(2 << GRAM_BITS)
     frequency[counted["bucket"].to_numpy(np.int64)] += counted["n"].to_numpy(np.float64)
-    weights = np.log(1.0 + total / frequency)
+    weights = np.log(1.0 + total / frequency[: 1 << GRAM_BITS])
+    word_counts = frequency[1 << GRAM_BITS :]
 
     def matcher(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = shared.value
             for pdf in batches:
                 out = [(key, kind, *c) for key, kind in zip(pdf["key"], pdf["kind"], strict=True) for c in index.candidates(key, kind)]
-                yield pd.DataFrame(out, columns=["key", "kind", "cosine", "share", "id"])
+                yield pd.DataFrame(out, columns=["key", "kind", "cosine", "share", "word", "id"])
 
         return run
 
-    blocks = max(1, -(-listed.count() // block_entries))
+    blocks = max(1, -(-entry_count // block_entries))
     found = None
     for block in range(blocks):
         chosen = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        index = ListIndex(sorted(tuple(r) for r in chosen.distinct().collect()), weights)
-        part = keys.mapInPandas(matcher(spark.sparkContext.broadcast(index)), "key string, kind string, cosine double, share double, id string")
+        index = ListIndex(sorted(tuple(r) for r in chosen.select("id", "name", F.coalesce("kind", F.lit(""))).distinct().collect()), weights, word_counts, total)
+        part = keys.mapInPandas(matcher(spark.sparkContext.broadcast(index)), "key string, kind string, cosine double, share double, word double, id string")
         found = part if found is None else found.unionByName(part)
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids = [decide([(f["cosine"], f["share"], f["id"]) for f in fs]) for fs in pdf["found"]]
+            ids = [decide([(f["cosine"], f["share"], f["word"], f["id"]) for f in fs]) for fs in pdf["found"]]
             yield pd.DataFrame({"key": pdf["key"], "kind": pdf["kind"], "ref_id": ids})
 
-    linked = found.groupBy("key", "kind").agg(F.collect_list(F.struct("cosine", "share", "id")).alias("found")).mapInPandas(
+    linked = found.groupBy("key", "kind").agg(F.collect_list(F.struct("cosine", "share", "word", "id")).alias("found")).mapInPandas(
         choose, "key string, kind string, ref_id string"
     )
     chosen = distinct.join(linked.where("ref_id <> ''"), ["key", "kind"]).select("value", "kind", "ref_id")

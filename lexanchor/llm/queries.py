@@ -65,7 +65,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = table(spark, sf_dir, "place_names").where("geonameid is null").select(
         F.lit("place_names").alias("tbl"), F.col("name_id").alias("row_id"), F.col("name_lower").alias("value"), F.lit("place").alias("kind")
     )
-    return link_values(mentions.unionByName(aliases), table(spark, sf_dir, "refnames"))
+    background = _mentions_and_aliases(spark, sf_dir).select("value")
+    return link_values(mentions.unionByName(aliases), table(spark, sf_dir, "refnames"), background=background)
 
 
 @REGISTRY.add("p5_found")
