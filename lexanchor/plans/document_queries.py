@@ -330,7 +330,13 @@ def v2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- audits and experiments
 
-PAIRS = f"flagged AS (SELECT DISTINCT {S.normalize('ref_name')} AS key, ref_id AS id FROM refnames WHERE ref_id LIKE '%7')"
+PAIRS = f"flagged AS (SELECT DISTINCT {S.normalize('ref_name')} AS key, ref_id AS id FROM refnames WHERE kind = 'medical')"
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for the set of flagged pairs: the medical names and their ids."""
+    rows = table(spark, sf_dir, "refnames").where("kind = 'medical'")
+    return rows.select(T.normalize("ref_name").alias("key"), F.col("ref_id").alias("id_kb")).distinct()
 
 
 @REGISTRY.add(
@@ -341,7 +347,7 @@ PAIRS = f"flagged AS (SELECT DISTINCT {S.normalize('ref_name')} AS key, ref_id A
 )
 def j13_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged pairs of mention and id are reverted to no link."""
-    flagged = table(spark, sf_dir, "refnames").where("ref_id like '%7'").select(T.normalize("ref_name").alias("key"), F.col("ref_id").alias("id_kb"), F.lit(True).alias("f")).distinct()
+    flagged = _flagged(spark, sf_dir).withColumn("f", F.lit(True))
     m = mentions(spark, sf_dir).where("text is not null").select("mention_id", T.normalize("text").alias("key"), "id_kb", "source").distinct()
     hit = F.col("f").isNotNull()
     return m.join(flagged, ["key", "id_kb"], "left").select(
@@ -356,7 +362,7 @@ def j13_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a11_revert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     reverted = j13_revert(spark, sf_dir).where("reverted").select("mention_id")
     rows = mentions(spark, sf_dir).select("mention_id", "text", "id_kb").distinct().join(reverted.distinct(), "mention_id", "left_semi")
-    return rows.where("id_kb like '%7' and text is not null").groupBy("text", "id_kb").agg(F.count("*").alias("n"))
+    return rows.where("text is not null").join(_flagged(spark, sf_dir).select("id_kb").distinct(), "id_kb", "left_semi").groupBy("text", "id_kb").agg(F.count("*").alias("n"))
 
 
 SPLITS = f"""sp AS (SELECT DISTINCT doc_idx, split FROM corpus), k AS (SELECT DISTINCT {_N} AS key, split FROM entities JOIN sp USING (doc_idx) WHERE text IS NOT NULL)"""
