@@ -481,3 +481,20 @@ def l3_rerank_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = R.place_lines(pool, by, config.max_candidates).withColumn("n", F.size("ids")).where("n >= 2").join(chosen, by)
     questions = lists.select(*by, R.prompt(F.col("key"), F.lit(""), F.col("lines"), config).alias("prompt"), "n", "ids", "fallback")
     return R.rerank(questions, length_model, config, by)
+
+
+_U4 = f"nil AS (SELECT DISTINCT {_N} AS key FROM entities WHERE id_kb = '' AND text IS NOT NULL UNION SELECT {S.normalize('name_lower')} FROM place_names WHERE geonameid IS NULL AND name_lower IS NOT NULL)"
+
+
+@REGISTRY.add(
+    "u5_cache_merge",
+    f"""WITH {_U4}, cache AS (SELECT DISTINCT {S.normalize('ref_name')} AS key FROM refnames WHERE kind = 'place')
+    SELECT key, 'cached' AS state FROM cache UNION ALL SELECT key, 'new' FROM nil WHERE key <> '' AND key NOT IN (SELECT key FROM cache)""",
+)
+def u5_cache_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct unlinked mentions of two tables merged into a frozen cache, in which existing keys win."""
+    nil = mentions(spark, sf_dir).where("id_kb = '' and text is not null").select(T.normalize("text").alias("key"))
+    free = table(spark, sf_dir, "place_names").where("geonameid is null and name_lower is not null").select(T.normalize("name_lower").alias("key"))
+    cache = table(spark, sf_dir, "refnames").where("kind = 'place'").select(T.normalize("ref_name").alias("key")).distinct()
+    new = nil.unionByName(free).where("key <> ''").distinct().join(cache, "key", "left_anti")
+    return cache.withColumn("state", F.lit("cached")).unionByName(new.withColumn("state", F.lit("new")))
