@@ -299,13 +299,13 @@ LPOOL = f"pool AS (SELECT * FROM {pool_sql('(SELECT DISTINCT key, wants_admin, g
 LINKED = f"WITH {S.PLACES}, {S.NAMES}, {S.MENTIONS}, {STAGES}, {LPOOL}, {choose_sql('pool', _BY3)}, linked AS (SELECT mention, stage, key, first_choice, geonameid, n_candidates FROM firsts JOIN chosen USING (key, wants_admin, guarded))"
 
 
-@REGISTRY.add("j2_cascade", f"WITH {S.PLACES}, {S.NAMES}, {S.MENTIONS}, {STAGES} SELECT mention, stage, key FROM s2")
+@REGISTRY.add("j2_cascade", f"WITH {S.PLACES}, {S.NAMES}, {S.MENTIONS}, {STAGES} SELECT mention, CAST(stage AS INT) AS stage, key FROM s2")
 def j2_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = P.link_places(place_mentions(spark, sf_dir), names(spark, sf_dir), places(spark, sf_dir))
     return linked.select("mention", "stage", "key")
 
 
-@REGISTRY.add("link_places", f"{LINKED} SELECT mention, stage, geonameid, n_candidates FROM linked")
+@REGISTRY.add("link_places", f"{LINKED} SELECT mention, CAST(stage AS INT) AS stage, geonameid, n_candidates FROM linked")
 def link_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every place mention through the cascade, ranked and reconciled."""
     linked = P.link_places(place_mentions(spark, sf_dir), names(spark, sf_dir), places(spark, sf_dir))
