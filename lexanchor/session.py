@@ -70,6 +70,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_KEY, None)
         if not folder:
-            folder = os.path.join(tempfile.gettempdir(), "lexanchor-checkpoints")
+            folder = tempfile.mkdtemp(prefix="lexanchor-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
