@@ -94,13 +94,17 @@ def heuristic_order(wants: str = "wants_admin") -> list:
     return [tier, F.when(tier < 4, -people).otherwise(0), F.col("pool_rank")]
 
 
-def choose_place(pool: DataFrame, by: list[str]) -> DataFrame:
+def choose_place(pool: DataFrame, by: list[str], picked: str | None = None) -> DataFrame:
     """The chosen id per group of a pool with ``wants_admin`` and ``pool_order``, and the id before reconciliation.
 
+    The id in the column ``picked``, if one is named, is put before the heuristic's choice.
+
     Two aggregations that combine before the shuffle, with the first choice joined back between
     them; no window holds a group.
     """
     tier, size = heuristic_order()[:2]
+    if picked:
+        tier = F.when(F.col("geonameid") == F.col(picked), -1).otherwise(tier)
     first = pool.groupBy(*by).agg(
         F.count("*").alias("n"), F.max("wants_admin").alias("wants"),
         F.min(F.struct(tier.alias("t"), size.alias("s"), "pool_order", F.struct(*PLACE_COLUMNS).alias("c"))).alias("m"),
@@ -134,11 +138,14 @@ def choose_place(pool: DataFrame, by: list[str]) -> DataFrame:
     return grouped.select(*by, own.alias("first_choice"), final.alias("geonameid"), F.col("n").alias("n_candidates"))
 
 
-def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallbacks: bool = True) -> DataFrame:
-    """``(mention, stage, key, geonameid)`` of every distinct mention that some stage finds.
+#: Columns by which mentions share a pool.
+POOL_BY = ["key", "wants_admin", "guarded"]
+
+
+def place_pools(mentions: DataFrame, names: DataFrame, places: DataFrame, fallbacks: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(mention, stage, key, wants_admin, guarded)`` of every mention that some stage finds, and the pools by the last three.
 
-    Mentions are linked once each; pools are ranked once per key and not per mention. The
-    fallback stages skip roads and buildings.
+    Pools are ranked once per key and not per mention. The fallback stages skip roads and buildings.
     """
     mentions = mentions.select("mention").where("mention is not null").distinct()
     keys = cut_lineage(C.place_keys(mentions, fallbacks))
@@ -150,7 +157,11 @@ def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallba
     hit = keys.join(known, "key").where((F.col("stage") < C.BARE) | F.col("solid"))
     first = hit.groupBy("mention").agg(F.min(F.struct("stage", "key")).alias("s")).select("mention", "s.stage", "s.key")
     first = first.withColumns({"wants_admin": T.wants_admin("mention"), "guarded": F.col("stage") >= C.BARE})
-    by = ["key", "wants_admin", "guarded"]
-    pool = pool_rows(first.select(*by).distinct().join(candidates, "key"), by)
-    pool = cut_lineage(pool.where(~F.col("guarded") | solid))  # read twice by the choice
-    return first.join(choose_place(pool, by), by).select("mention", "stage", "key", "first_choice", "geonameid", "n_candidates")
+    pool = pool_rows(first.select(*POOL_BY).distinct().join(candidates, "key"), POOL_BY)
+    return first, cut_lineage(pool.where(~F.col("guarded") | solid))  # read twice by the choice
+
+
+def link_places(mentions: DataFrame, names: DataFrame, places: DataFrame, fallbacks: bool = True) -> DataFrame:
+    """``(mention, stage, key, geonameid)`` of every distinct mention that some stage finds; mentions are linked once each."""
+    first, pool = place_pools(mentions, names, places, fallbacks)
+    return first.join(choose_place(pool, POOL_BY), POOL_BY).select("mention", "stage", "key", "first_choice", "geonameid", "n_candidates")

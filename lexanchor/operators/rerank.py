@@ -61,6 +61,25 @@ def place_lines(pool: DataFrame, by: list[str], k: int) -> DataFrame:
     return first.select(*by, lines.alias("lines"), F.transform("c", lambda c: c["geonameid"]).alias("ids"))
 
 
+def term_lines(candidates: DataFrame, names: DataFrame, by: list[str], k: int) -> DataFrame:
+    """L2: the first k candidates ``(rank, id)`` of each group as numbered lines with their names ``(id, ord, name)``, and their ids."""
+    spoken = names.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("names"))
+    line = F.concat_ws(" — ", "id", F.array_join(F.transform("names", lambda x: x["name"]), " | "))
+    first = candidates.where(F.col("rank") <= k).join(spoken, "id", "left")
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "id", line.alias("line")))).alias("c"))
+    lines = F.array_join(F.transform("c", lambda c, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), c["line"])), "\n")
+    return first.select(*by, lines.alias("lines"), F.transform("c", lambda c: c["id"]).alias("ids"))
+
+
+def strain_choice(candidates: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """``by`` and the first of two or more candidates ``(context, rank, id)`` that is named after a strain, if the context marks one."""
+    marked = candidates.where(F.col("context").rlike(T.STRAIN))
+    several = marked.where("rank = 2").select(*by)
+    strains = names.where(F.lower("name").rlike("o104|o157|ehec|stec")).select("id").distinct()
+    first = marked.join(several, by, "left_semi").join(strains, "id", "left_semi").groupBy(*by).agg(F.min(F.struct("rank", "id")).alias("b"))
+    return first.select(*by, F.col("b.id").alias("id"))
+
+
 def prompt(mention: Column, context: Column, lines: Column, config: RerankConfig) -> Column:
     """The question in the configured language, with the bounded context and the closed list."""
     if config.language == "fr":

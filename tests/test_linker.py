@@ -1,7 +1,10 @@
 import json
 
+import pytest
+
 from lexanchor.__main__ import main
 from lexanchor.operators.places import name_dimension, place_dimension
+from lexanchor.operators.rerank import RerankConfig
 from lexanchor.plans.linker import EntityLinker, KnowledgeBase, LinkerConfig
 from lexanchor.sources.readers import read_corpus
 from tests.conftest import rows
@@ -85,3 +88,35 @@ def test_documents_and_command_line(spark, tmp_path):
     assert main(["evaluate", predicted, "--kb", folder]) == 0
     assert main(["scan", str(source)]) == 0
     assert rows(KnowledgeBase.read(spark, folder).map("aliases", LinkerConfig())) == [("hexagone", "100")]
+
+
+def reranker(text, n):
+    """Chooses by what the prompt's context says; fails elsewhere."""
+    context = text.split("Context: ")[1].split("\nCandidates")[0]
+    assert context, "no context"
+    return "-1" if "aucun" in context else context.split("numéro ")[1][0]
+
+
+def test_reranking(spark):
+    base = knowledge(spark)
+    base.maps |= {
+        "ambiguous": spark.createDataFrame([("peste", "INF_DISEASE", 0, "D60"), ("peste", "INF_DISEASE", 1, "D61")], "key string, label string, ord int, id string"),
+        "term_names": spark.createDataFrame([("D8", 0, "Escherichia coli O104"), ("D7", 0, "Grippe")], "id string, ord int, name string"),
+    }
+    config = LinkerConfig(rerank=RerankConfig(enabled=True, allow_abstain=True))
+    asked = [
+        ("Aix", "LOCATION", "numéro 0"), ("Aix", "LOCATION", "numéro 2"), ("Aix", "LOCATION", "aucun"), ("Aix", "LOCATION", None), ("Aix", "LOCATION", "numéro 9"), ("Bor", "LOCATION", "aucun"),
+        ("quartier nord", "LOCATION", "aucun"), ("grippe", "INF_DISEASE", "numéro 0"), ("grippe", "INF_DISEASE", None), ("grippe", "PATHOGEN", "souche O104:H4, numéro 0"), ("rage", "INF_DISEASE", "numéro 0"),
+        ("Peste", "INF_DISEASE", "numéro 1"), ("Peste", "INF_DISEASE", None),
+    ]
+    got = EntityLinker(base, config, reranker).link(spark.createDataFrame(asked, "text string, label string, context string"))
+    assert {(r.text, r.label, r.context): r.id_kb for r in got.collect()} == dict(zip(asked, ["3", "2", "", "2", "2", "4", "77", "D7", "D8", "D8", "D9", "D61", "D50"], strict=True))
+    with pytest.raises(ValueError):
+        EntityLinker(base, config)
+
+
+def test_reranking_of_documents_uses_the_window(spark, tmp_path):
+    source = tmp_path / "c.json"
+    source.write_text(json.dumps([{"text": "aucun ...... Aix, numéro 0", "entities": [{"text": "Aix", "label": "LOCATION", "start": 13, "end": 16}]}]))
+    linker = EntityLinker(knowledge(spark), LinkerConfig(context_window=12, rerank=RerankConfig(enabled=True, allow_abstain=True)), reranker)
+    assert [e.id_kb for r in linker.process_documents(read_corpus(spark, str(source))).collect() for e in r.entities] == ["3"]
