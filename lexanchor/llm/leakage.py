@@ -6,8 +6,9 @@ spans of an item are its word n-grams of length ``span // (budget + 1)``, so the
 find every span within the budget. A hit is kept only if enough words agree on diagonals near
 it, which no true span fails, and is then verified by the distance of the span itself.
 
-Two rules together say "18 words of the item, about one in ten of them changed": 18 words
-with one edit, or 20 words with two edits, so that 18 of them stand.
+The rules together say "18 words of the item, about one in ten of them changed": 18 words
+with one edit, or 20 words with two edits, so that 18 of them stand; 28 words with three and
+36 with four. Forty words with up to five edits hold 20 words with two.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lexanchor.llm.words import words
 
 #: Pairs of a span in words and the edits allowed in it.
-RULES = ((18, 1), (20, 2))
+RULES = ((18, 1), (20, 2), (28, 3), (36, 4))
 #: Characters of items that are broadcast at once; more items are matched block by block.
 BLOCK_CHARS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -58,6 +58,16 @@ def test_equals_brute_force():
     assert len(want) > 15 and L.leaks(index, texts) == want
 
 
+def test_budget_grows_with_the_passage():
+    item = [f"w{k}" for k in range(40)]
+    index = L.build_index([(0, item)])
+    for span, changed in ((30, (13, 14, 15)), (28, (9, 14, 18)), (36, (10, 16, 19, 25)), (30, (11, 13, 15, 17))):
+        text = ["a"] * 9 + ["zz" if k in changed else item[k] for k in range(span)] + ["b"] * 9
+        want = [(0, 0)] if len(changed) * 9 <= span else []
+        assert brute([(0, item)], [text], ((18, 1), (20, 2))) == []
+        assert L.leaks(index, [text]) == want
+
+
 def test_no_leak_and_text_keys(spark):
     docs = spark.createDataFrame([("a", "un texte"), ("b", None)], "doc_id string, text string")
     held = spark.createDataFrame([("x", " ".join(f"w{k}" for k in range(30)))], "item_id string, text string")
