@@ -10,7 +10,7 @@ from lexanchor.llm.canon import link_values
 from lexanchor.llm.garble import fit, restore_rows
 from lexanchor.llm.leakage import find_leaks
 from lexanchor.llm.lookalike import lookalike_rows
-from lexanchor.llm.overlap import cross_split_overlaps, record_pairs
+from lexanchor.llm.overlap import cross_split_overlaps, held_coverage, record_pairs
 from lexanchor.llm.reading import reading_levels
 from lexanchor.plans.registry import Registry
 from lexanchor.session import table
@@ -32,7 +32,7 @@ def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per split and source: held-out records that stand in training, and how much of them is covered."""
     corpus = table(spark, sf_dir, "corpus")
     members, links = cross_split_overlaps(corpus)
-    held = record_pairs(members, links).groupBy("held_doc").agg(F.max("cover_held").alias("cover"), F.count("*").alias("partners"))
+    held = held_coverage(members, links)
     places = corpus.where("split in ('dev', 'test')").select("doc_idx", "split", "source").distinct()
     return (
         places.join(held, places["doc_idx"] == held["held_doc"], "left")

@@ -17,9 +17,10 @@ INVISIBLE = "".join(
         ),
     )
 )
-DROP_INVISIBLE = dict.fromkeys(map(ord, INVISIBLE))
+_INVISIBLE = re.compile(f"[{re.escape(INVISIBLE)}]+")
 
-_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});")
+#: A tag of any length, or an entity.
+_TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|&(?:[A-Za-z]{2,8}|#\d{2,6}|#x[0-9A-Fa-f]{2,5});")
 _MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]+")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -39,7 +40,7 @@ def fold(text: str) -> str:
     if "<" in text or "&" in text:
         text = _TAG.sub(_unescape, text)
     if not text.isascii():
-        text = strip_marks(text.translate(DROP_INVISIBLE))
+        text = strip_marks(_INVISIBLE.sub("", text))
     return text.casefold()
 
 
