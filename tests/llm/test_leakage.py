@@ -84,5 +84,19 @@ def test_query_form_and_blocks(spark):
     index = L.build_index(items)
     want = sorted({(d, int(index.item_ids[i])) for d, i in L.leaks(index, texts)} | {(902, 0), (903, 0)})
     assert rows(L.find_leaks(docs, held)) == want
-    assert rows(L.find_leaks(docs, held, block_chars=300)) == want
+    assert rows(L.find_leaks(docs, held, most_chars=300)) == want  # joined, not broadcast
+    assert rows(L.find_leaks(docs, held.limit(0), most_chars=-1)) == [] == rows(L.find_leaks(docs.limit(0), held, most_chars=-1))
     assert rows(L.find_leaks(docs, held.limit(0))) == [] == rows(L.find_leaks(docs.limit(0), held))
+
+
+def test_stock_phrase_of_many_items(spark, monkeypatch):
+    """A phrase of every item is expanded bit by bit, and long tags don't break a passage."""
+    phrase = [f"p{k}" for k in range(18)]
+    items = [(k, [f"a{k}"] * 5 + phrase + [f"b{k}"] * 5) for k in range(60)]
+    docs = [(d, " ".join([f"d{d}"] * 4 + phrase)) for d in range(40)] + [(99, "x <span data='" + "y" * 900 + "'>" + " <b>".join(phrase))]
+    want = sorted((d, k) for d, _ in docs for k, _ in items)
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    monkeypatch.setattr(L, "BLOCK_HITS", 101)
+    assert L.leaks(L.build_index(items), [t.split() for _, t in docs[:2]]) == sorted((d, k) for d in range(2) for k in range(60))
+    assert rows(L.find_leaks(a, b)) == want == rows(L.find_leaks(a, b, most_chars=0))
