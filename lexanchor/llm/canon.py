@@ -1,18 +1,22 @@
 """Free-entered values mapped to the closest entry of a canonical list.
 
 Values are made distinct and normalised; candidates come from an inverted index of character
-n-grams (bigrams, trigrams and bigrams with a gap), scored by weighted cosine. A value is
-accepted above a threshold and a margin over the next entry, if the entry's most telling word
-stands in it within some edits; one in the grey zone below is accepted only if the whole entry
-stands in it within few. Weights are inverse frequencies over all distinct values of a
-background, held in tables of fixed size; the list is broadcast in blocks, every block against
-all values.
+n-grams (bigrams, trigrams and bigrams with a gap), scored by weighted cosine. The best entry is
+accepted above a threshold and a margin over the next one, if its most telling word stands in the
+value within some edits; low cosines also need the whole entry to stand in it. Weights are inverse
+frequencies over all distinct values of a background.
+
+A list of up to ``MOST_ENTRIES``, which is checked, is indexed and broadcast. A longer one is
+joined by n-gram: of each vector only the rarest n-grams are joined, those without which the rest
+couldn't reach the least cosine by itself, and candidates are scored in full. Both ways give the
+same rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -21,29 +25,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexanchor.llm.garble import undo_utf8
-from lexanchor.llm.lookalike import canonical
+from lexanchor.llm.lookalike import LOOKS, canonical, public_looks
 from lexanchor.llm.words import fold
 from lexanchor.session import cut_lineage, spread
 
 GRAM_BITS = 18
-#: Cosine from which an entry is taken, the least margin over the next one, and the edits by length of its most telling word.
-ACCEPT, MARGIN, WORD_EDITS = 0.5, 0.03, 0.45
-#: Below it a clear lead is enough with a closer word: (least cosine, least margin, edits of the word by length).
-CLEAR = ((0.3, 0.15, 0.25), (0.3, 0.22, 0.35))
-#: The least cosine of the grey zone, and the edits by length of the whole entry and of its most telling word there.
-GREY, EDITS, GREY_WORD_EDITS = 0.2, 0.27, 0.25
-#: In the grey zone the value may be so much longer than the entry, not counting words that so many of all values have.
+#: Least cosine, least margin over the next entry, and most edits of the entry's most telling word by its length.
+TIERS = ((0.5, 0.03, 0.45), (0.3, 0.15, 0.25), (0.3, 0.22, 0.35))
+#: The same where the whole entry must stand in the value too, within so many edits by its length.
+LOW_TIER, EDITS = (0.2, 0.03, 0.25), 0.27
+#: Entries below it are none.
+FLOOR = 0.2
+#: There the value may be so much longer than the entry, not counting words that so many of all values have.
 LONGER, GENERIC = 1.5, 0.002
-#: Candidates of a value that are kept of each block of the list.
-TOP = 6
-#: Entries of the list that are broadcast at once.
-BLOCK_ENTRIES = 20_000
+#: Entries of a list that is broadcast.
+MOST_ENTRIES = 20_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-def normalise(text: str | None) -> str:
+def normalise(text: str | None, looks: dict[str, str] = LOOKS) -> str:
     """Folded words of a value with wrong decodings and look-alikes undone."""
-    return " ".join(_WORD.findall(fold(canonical(undo_utf8(text))))) if text else ""
+    return " ".join(_WORD.findall(fold(canonical(undo_utf8(text), looks)))) if text else ""
+
+
+class GramCodes(dict):
+    """Hashed n-grams; each is hashed once."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[gram] = crc32(gram.encode("utf-8", "replace")) >> (32 - GRAM_BITS)
+        return code
+
+
+_CODES = GramCodes()
 
 
 def grams(key: str) -> list[str]:
@@ -57,12 +72,23 @@ def grams(key: str) -> list[str]:
 
 
 def gram_counts(key: str) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.array([crc32(g.encode("utf-8", "replace")) >> (32 - GRAM_BITS) for g in grams(key)], np.int64)
-    return np.unique(codes, return_counts=True)
+    found = grams(key)
+    return np.unique(np.fromiter(map(_CODES.__getitem__, found), np.int64, len(found)), return_counts=True)
 
 
-def word_codes(key: str) -> np.ndarray:
-    return np.unique(np.array([crc32(w.encode("utf-8", "replace")) >> (32 - GRAM_BITS) for w in key.split()], np.int64))
+def vector(key: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a value and their weights, of length one together."""
+    at, n = gram_counts(key)
+    w = np.sqrt(n) * weights[at]
+    norm = float(np.sqrt((w * w).sum()))
+    return at, w / norm if norm else w
+
+
+def cosine(key: str, entry: str, weights: np.ndarray) -> float:
+    a, x = vector(key, weights)
+    b, y = vector(entry, weights)
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    return round(float((x[i] * y[j]).sum()), 9)
 
 
 def edits_within(entry: str, value: str) -> int:
@@ -83,107 +109,150 @@ def edits_within(entry: str, value: str) -> int:
     return min(last)
 
 
+def accepts(key: str, entry: str, telling: str, best: float, second: float, generic: frozenset[str]) -> bool:
+    """Whether the best entry of a value is meant, given its cosine and that of the next one."""
+    rules = [edits for least, margin, edits in (*TIERS, LOW_TIER) if best >= least and best - second >= margin]
+    if not rules:
+        return False
+    squeezed = key.replace(" ", "")
+    word = edits_within(telling, squeezed) / max(1, len(telling))
+    if any(best >= least and best - second >= margin and word <= edits for least, margin, edits in TIERS):
+        return True
+    whole = entry.replace(" ", "")
+    if best < LOW_TIER[0] or best - second < LOW_TIER[1] or word > LOW_TIER[2] or sum(len(w) for w in key.split() if w not in generic) > LONGER * len(whole):
+        return False
+    return edits_within(whole, squeezed) / max(1, len(whole)) <= EDITS
+
+
 class ListIndex:
-    """Inverted index of a block of the canonical list."""
+    """Inverted index of a canonical list ``(id, kind, key, telling)``, sorted by id."""
 
-    def __init__(self, entries: list[tuple[str, str, str]], weights: np.ndarray, word_counts: np.ndarray, total: int):
+    def __init__(self, entries: list[tuple[str, str, str, str]], weights: np.ndarray):
         self.ids = [e[0] for e in entries]
-        self.keys = [normalise(e[1]) for e in entries]
-        self.kinds = np.array([e[2] or "" for e in entries], object)
+        self.keys = [e[2] for e in entries]
+        self.telling = [e[3] for e in entries]
+        # entries of one id follow each other and aren't rivals of each other
+        self.first = np.searchsorted(np.array(self.ids, object), np.array(self.ids, object), "left") if entries else np.empty(0, np.int64)
+        self.last = np.searchsorted(np.array(self.ids, object), np.array(self.ids, object), "right") if entries else np.empty(0, np.int64)
+        kinds = np.array([e[1] for e in entries], object)
+        self.of_kind = {kind: kinds == kind for kind in set(kinds.tolist())}
         self.weights = weights
-        self.word_counts = word_counts
-        self.generic = GENERIC * total
-        self.telling = [self._telling(key, word_counts) for key in self.keys]
         owner, code, value = [], [], []
         for k, key in enumerate(self.keys):
-            at, w = self.vector(key)
+            at, w = vector(key, weights)
             owner.append(np.full(len(at), k, np.int32))
             code.append(at)
             value.append(w)
         codes = np.concatenate(code) if code else np.empty(0, np.int64)
         order = np.argsort(codes, kind="stable")
         self.owner = np.concatenate(owner)[order] if owner else np.empty(0, np.int32)
-        self.value = np.concatenate(value)[order].astype(np.float32) if value else np.empty(0, np.float32)
+        self.value = np.concatenate(value)[order] if value else np.empty(0)
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=1 << GRAM_BITS)))).astype(np.int64)
 
-    @staticmethod
-    def _telling(key: str, word_counts: np.ndarray) -> str:
-        """The word that is rarest for its length, of those longer than three letters."""
-        words = [w for w in key.split() if len(w) > 3] or [key]
-        return min(words, key=lambda w: (word_counts[word_codes(w)].sum() / max(1, len(w)), w))
-
-    def vector(self, key: str) -> tuple[np.ndarray, np.ndarray]:
-        at, n = gram_counts(key)
-        w = np.sqrt(n) * self.weights[at]
-        norm = float(np.sqrt((w * w).sum()))
-        return at, w / norm if norm else w
-
-    def candidates(self, key: str, kind: str, top: int = TOP) -> list[tuple[float, float, float, str]]:
-        """(cosine, edits by length of the entry and of its most telling word, id) of the best entries of the kind, best first."""
-        if not key or not self.ids:
-            return []
-        at, w = self.vector(key)
+    def best(self, key: str, kind: str) -> tuple[int, float, float]:
+        """The entry of the greatest cosine, the first of equal ones, that cosine and the next of another id; -1 if none reaches FLOOR."""
+        if not key or not self.ids or (kind and kind not in self.of_kind):
+            return -1, 0.0, 0.0
+        at, w = vector(key, self.weights)
         low, high = self.starts[at], self.starts[at + 1]
         count = high - low
-        if not count.sum():
-            return []
-        where = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        scores = np.bincount(self.owner[where], self.value[where] * np.repeat(w, count), minlength=len(self.ids))
+        total = int(count.sum())
+        if not total:
+            return -1, 0.0, 0.0
+        where = np.repeat(low - np.cumsum(count) + count, count) + np.arange(total)
+        scores = np.bincount(self.owner[where], self.value[where] * np.repeat(w, count), minlength=len(self.ids)).round(9)
         if kind:
-            scores = np.where(self.kinds == kind, scores, 0.0)
-        best = np.argsort(-scores, kind="stable")[: top + 1]
-        out = []
-        squeezed = key.replace(" ", "")
-        own = sum(len(w) for w in key.split() if self.word_counts[word_codes(w)].sum() < self.generic)
-        for k in best[:top]:
-            if scores[k] < GREY:
-                break
-            word = edits_within(self.telling[k], squeezed) / max(1, len(self.telling[k]))
-            share = 1.0
-            if scores[k] < ACCEPT + 0.1 and word <= GREY_WORD_EDITS:
-                entry = self.keys[k].replace(" ", "")
-                if own <= LONGER * len(entry):
-                    share = edits_within(entry, squeezed) / max(1, len(entry))
-            out.append((float(scores[k]), share, word, self.ids[k]))
-        return out
-
-
-def decide(found: list[tuple[float, float, float, str]]) -> str:
-    """The id of the accepted entry, or ''; equal scores go to the lesser id."""
-    found = sorted(found, key=lambda f: (-f[0], f[3]))
-    if not found:
-        return ""
-    cosine, _, word, best = found[0]
-    second = found[1][0] if len(found) > 1 else 0.0
-    for least, margin, edits in ((ACCEPT, MARGIN, WORD_EDITS), *CLEAR):
-        if cosine >= least and cosine - second >= margin and word <= edits:
-            return best
-    near = sorted((s, -c, i) for c, s, w, i in found if s <= EDITS and w <= GREY_WORD_EDITS)
-    if near and (len(near) == 1 or near[0][0] < near[1][0] or near[0][1] < near[1][1]):
-        return near[0][2]
-    return ""
+            scores[~self.of_kind[kind]] = 0.0
+        first = int(scores.argmax())
+        top = float(scores[first])
+        scores[self.first[first] : self.last[first]] = 0.0
+        second = float(scores.max())
+        return (first, top, second if second >= FLOOR else 0.0) if top >= FLOOR else (-1, 0.0, 0.0)
+
+    def link(self, key: str, kind: str, generic: frozenset[str]) -> str:
+        k, top, second = self.best(key, kind)
+        return self.ids[k] if k >= 0 and accepts(key, self.keys[k], self.telling[k], top, second, generic) else ""
+
+
+def rarest_grams(key: str, weights: np.ndarray) -> np.ndarray:
+    """N-grams, rarest first, without those that couldn't give a cosine of FLOOR by themselves."""
+    at, w = vector(key, weights)
+    order = np.lexsort((at, -weights[at]))
+    left = np.sqrt(np.cumsum((w[order] ** 2)[::-1])[::-1])
+    return at[order][left >= FLOOR - 1e-9]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct values that have each hashed n-gram, and from the table's size on, each hashed word."""
-    total = np.zeros(2 << GRAM_BITS, np.int64)
+    """Distinct values that have each hashed n-gram; their number is bounded by the alphabet, so the table has a fixed size."""
+    total = np.zeros(1 << GRAM_BITS, np.int64)
     for pdf in batches:
-        keys = [key for key in map(normalise, pdf["value"]) if key]
-        found = [gram_counts(key)[0] for key in keys] + [word_codes(key) + (1 << GRAM_BITS) for key in keys]
-        if found:
-            at, n = np.unique(np.concatenate(found), return_counts=True)
-            total[at] += n
+        for start in range(0, len(pdf), 2000):
+            found = [gram_counts(key)[0] for key in pdf["key"].iloc[start : start + 2000] if key]
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
     at = np.flatnonzero(total)
     yield pd.DataFrame({"bucket": at, "n": total[at]})
 
 
+def _keyed(looks: dict[str, str], source: str, schema: str) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(key=[normalise(v, looks) for v in pdf[source]])
+
+    return lambda df: df.mapInPandas(run, f"{schema}, key string")
+
+
+def _telling_words(listed: DataFrame, words: DataFrame) -> DataFrame:
+    """``(id, kind, key, telling)``: of each entry the word that is rarest for its length, of those longer than three letters."""
+    own = F.split("key", " ")
+    long = F.filter(own, lambda w: F.length(w) > 3)
+    spelt = listed.select("id", "kind", "key", F.explode(F.when(F.size(long) > 0, long).otherwise(F.array("key"))).alias("word"))
+    rarity = (F.coalesce("n", F.lit(0)) + 1) / F.greatest(F.length("word"), F.lit(1))
+    best = spelt.join(words, "word", "left").groupBy("id", "kind", "key").agg(F.min(F.struct(rarity.alias("r"), "word")).alias("b"))
+    return best.select("id", "kind", "key", F.col("b.word").alias("telling"))
+
+
+def _joined(keys: DataFrame, entries: DataFrame, weights, generic: frozenset[str]) -> DataFrame:
+    """The way for long lists: ``(key, kind, ref_id)`` of accepted keys by a join of n-grams."""
+
+    def prefixes(column: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [rarest_grams(key, weights.value) if key else np.empty(0, np.int64) for key in pdf["key"]]
+            at = np.repeat(np.arange(len(pdf)), [len(f) for f in found])
+            if len(at):
+                yield pd.DataFrame({"gram": np.concatenate(found), column: pdf[column].to_numpy()[at], "kind": pdf["kind"].to_numpy()[at]})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cos = np.array([cosine(key, entry, weights.value) for key, entry in zip(pdf["key"], pdf["entry"], strict=True)], float)
+            yield pdf.assign(cosine=cos)[cos >= FLOOR]
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            columns = (pdf[c] for c in ("key", "entry", "telling", "cosine", "second"))
+            yield pdf[[accepts(*row, generic) for row in zip(*columns, strict=True)]][["key", "kind", "ref_id"]]
+
+    mine = keys.where("key <> ''").mapInPandas(partial(prefixes, "key"), "gram long, key string, kind string")
+    theirs = entries.mapInPandas(partial(prefixes, "id"), "gram long, id string, kind string").withColumnRenamed("kind", "entry_kind")
+    met = mine.join(theirs, "gram").where("kind = '' or kind = entry_kind").select("key", "kind", "id", "entry_kind").distinct()
+    known = entries.select("id", F.col("kind").alias("entry_kind"), F.col("key").alias("entry"), "telling")
+    scored = met.join(known, ["id", "entry_kind"]).select("key", "kind", "id", "entry", "telling")
+    scored = cut_lineage(scored.mapInPandas(score, "key string, kind string, id string, entry string, telling string, cosine double"))
+    first = scored.groupBy("key", "kind").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "id", "entry", "telling")).alias("b"))
+    first = first.select("key", "kind", F.col("b.id").alias("ref_id"), "b.entry", "b.telling", (-F.col("b.c")).alias("cosine"))
+    rivals = scored.select("key", "kind", "id", F.col("cosine").alias("rival")).join(first.select("key", "kind", "ref_id"), ["key", "kind"])
+    rivals = rivals.where("id <> ref_id").groupBy("key", "kind").agg(F.max("rival").alias("second"))
+    decided = first.join(rivals, ["key", "kind"], "left").withColumn("second", F.coalesce("second", F.lit(0.0)))
+    return decided.mapInPandas(choose, "key string, kind string, ref_id string")
+
+
 def link_values(
     values: DataFrame,
     entries: DataFrame,
     entry_id: str = "ref_id",
     entry_name: str = "ref_name",
     entry_kind: str = "kind",
-    block_entries: int = BLOCK_ENTRIES,
+    most_entries: int = MOST_ENTRIES,
     background: DataFrame | None = None,
 ) -> DataFrame:
     """``(tbl, row_id, ref_id)`` of every row of ``values(tbl, row_id, value, kind)``; '' where none is meant.
@@ -194,50 +263,37 @@ def link_values(
     ``background(value)`` is what frequencies are counted over, by default the values.
     """
     spark = values.sparkSession
+    looks = public_looks(spark)
     rows = values.select("tbl", "row_id", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("kind", F.lit("")).alias("kind")).distinct()
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(key=[normalise(v) for v in pdf["value"]])
-
-    distinct = cut_lineage(spread(rows.select("value", "kind").distinct()).mapInPandas(keyed, "value string, kind string, key string"))
+    distinct = cut_lineage(_keyed(looks, "value", "value string, kind string")(spread(rows.select("value", "kind").distinct())))
     keys = spread(distinct.select("key", "kind").distinct())
     listed = entries.select(
-        F.col(entry_id).cast("string").alias("id"), F.col(entry_name).alias("name"), F.col(entry_kind).alias("kind")
+        F.col(entry_id).cast("string").alias("id"), F.col(entry_name).alias("name"), F.coalesce(entry_kind, F.lit("")).alias("kind")
     ).where("id is not null and name is not null")
     seen = spread((rows if background is None else background).select("value").where(F.length("value") > 0).distinct())
+    seen = cut_lineage(_keyed(looks, "value", "value string")(seen).select("key"))
+    listed = _keyed(looks, "name", "id string, name string, kind string")(listed.distinct()).select("id", "kind", "key").where("key <> ''").distinct()
+    entry_count, seen_count = listed.count(), seen.count()
+    total = seen_count + entry_count
     counted = seen.mapInPandas(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    entry_count = listed.count()
-    total = seen.count() + entry_count
-    frequency = np.ones(2 << GRAM_BITS)
+    frequency = np.ones(1 << GRAM_BITS)
     frequency[counted["bucket"].to_numpy(np.int64)] += counted["n"].to_numpy(np.float64)
-    weights = np.log(1.0 + total / frequency[: 1 << GRAM_BITS])
-    word_counts = frequency[1 << GRAM_BITS :]
+    weights = np.log(1.0 + total / frequency)
+    words = seen.select(F.explode(F.array_distinct(F.split("key", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # so many words at most can each be in a part of GENERIC of all values: 500 times the words of a value
+    generic = frozenset(r[0] for r in words.where(F.col("n") >= GENERIC * total).select("word").collect())
+    listed = _telling_words(listed, words)
+    if entry_count > most_entries:
+        linked = _joined(keys, cut_lineage(listed), spark.sparkContext.broadcast(weights), generic)
+    else:
+        index = spark.sparkContext.broadcast(ListIndex(sorted(tuple(r) for r in listed.select("id", "kind", "key", "telling").collect()), weights))
 
-    def matcher(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shared.value
             for pdf in batches:
-                out = [(key, kind, *c) for key, kind in zip(pdf["key"], pdf["kind"], strict=True) for c in index.candidates(key, kind)]
-                yield pd.DataFrame(out, columns=["key", "kind", "cosine", "share", "word", "id"])
-
-        return run
-
-    blocks = max(1, -(-entry_count // block_entries))
-    found = None
-    for block in range(blocks):
-        chosen = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        index = ListIndex(sorted(tuple(r) for r in chosen.select("id", "name", F.coalesce("kind", F.lit(""))).distinct().collect()), weights, word_counts, total)
-        part = keys.mapInPandas(matcher(spark.sparkContext.broadcast(index)), "key string, kind string, cosine double, share double, word double, id string")
-        found = part if found is None else found.unionByName(part)
+                ids = [index.value.link(key, kind, generic) for key, kind in zip(pdf["key"], pdf["kind"], strict=True)]
+                out = pdf.assign(ref_id=ids)
+                yield out[out["ref_id"] != ""]
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = [decide([(f["cosine"], f["share"], f["word"], f["id"]) for f in fs]) for fs in pdf["found"]]
-            yield pd.DataFrame({"key": pdf["key"], "kind": pdf["kind"], "ref_id": ids})
-
-    linked = found.groupBy("key", "kind").agg(F.collect_list(F.struct("cosine", "share", "word", "id")).alias("found")).mapInPandas(
-        choose, "key string, kind string, ref_id string"
-    )
-    chosen = distinct.join(linked.where("ref_id <> ''"), ["key", "kind"]).select("value", "kind", "ref_id")
+        linked = keys.mapInPandas(run, "key string, kind string, ref_id string")
+    chosen = distinct.join(linked, ["key", "kind"]).select("value", "kind", "ref_id")
     return rows.join(chosen, ["value", "kind"], "left").select("tbl", "row_id", F.coalesce("ref_id", F.lit("")).alias("ref_id")).distinct()

@@ -166,8 +166,9 @@ def wholly_lookalike(token: str, looks: dict[str, str] = LOOKS) -> bool:
 
 def canonical(text: str, looks: dict[str, str] = LOOKS) -> str:
     """The text by table alone."""
-    text = text.translate(SPACES)
-    return _TOKEN.sub(lambda m: normalise_token(m.group(), looks), text.translate(DROP)) if not text.isascii() else text
+    if text.isascii() or not (_BEYOND.search(text) or _ODD_SPACE.search(text)):
+        return text
+    return _TOKEN.sub(lambda m: normalise_token(m.group(), looks), text.translate(SPACES).translate(DROP))
 
 
 # Characters of one look have one form in the key, so that the trie, and not the key, tells them apart.
