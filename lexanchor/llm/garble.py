@@ -3,8 +3,12 @@
 A smoothed character trigram model is counted over all clean records. Each word with
 characters beyond ASCII gets a candidate for every chain "encode as B, decode as A" that is
 possible on it; the likeliest candidate is accepted if it beats the word as it stands by more
-than a margin, which is validated on words garbled on purpose. The model is a table of fixed
-size (hashed trigrams), so what is broadcast doesn't grow with the data.
+than a margin. The margin is validated on all words of held-out records, unharmed and garbled on
+purpose, by a model that was counted without those records. The model is a table of fixed size
+(hashed trigrams), so what is broadcast doesn't grow with the data.
+
+Only texts that some chain could change at all, which a pattern made of the model's characters
+tells in the JVM, are scored in Python.
 """
 
 from __future__ import annotations
@@ -12,12 +16,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexanchor.session import spread
+
 # The encodings that UTF-8 is wrongly read as, and the single-byte pairs (read as, written in).
 READ_AS = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "cp1251", "cp1250", "iso8859-15")
 SINGLE_BYTE = (
@@ -27,8 +34,8 @@ SINGLE_BYTE = (
 
 TRI_BITS, BI_BITS = 20, 16
 CLASSES = 3072
-#: Words drawn for the validation of the margin, a documented bound.
-VALIDATION_WORDS = 4000
+#: One record of so many is held out for the validation of the margin.
+HELD_OUT = 16
 MARGINS = (1.0, 2.0, 3.0, 4.0)
 #: How much commoner the rarest character of a restored word must be than that of the garbled one, by kind of chain.
 COMMONER = {"utf8": 1.0, "single": 3.0}
@@ -40,9 +47,9 @@ NOISE_COUNT, NOISE_SHARE = 2.0, 3e-7
 # Zero-width characters, which may stand within a garbled sequence.
 ZERO_WIDTH = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_SPLIT = re.compile(r"([ \t\r\n]+)")
-#: Characters that a wrong decoding leaves and that stand in no text of the domain.
-_LOST = re.compile("[�\x80-\x9f─-▟]")
+#: The sign of a lost character; and characters that no candidate and no clean record has.
+_LOST = re.compile("�")
+_UNCLEAN = re.compile("[�\x80-\x9f─-▟]")
 
 
 def _to_byte(encoding: str) -> dict[str, int]:
@@ -211,12 +218,19 @@ def candidates(word: str, utf8: bool = True, single: bool = True) -> dict[str, s
     return found
 
 
-def _classes(text: str) -> np.ndarray:
+def _class_table() -> np.ndarray:
     """Latin, Greek, Cyrillic, punctuation, symbols and box drawings each by itself, all others by their block of 128."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = np.arange(0x110000)
     out = np.where(code < 1328, code, 2352 + (code >> 7) % (CLASSES - 2352))
     out = np.where((code >= 0x2000) & (code < 0x2300), code - 0x2000 + 1328, out)
-    return np.where((code >= 0x2500) & (code < 0x2600), code - 0x2500 + 2096, out)
+    return np.where((code >= 0x2500) & (code < 0x2600), code - 0x2500 + 2096, out).astype(np.int64)
+
+
+_CLASS = _class_table()
+
+
+def _classes(text: str) -> np.ndarray:
+    return _CLASS[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
 def _bucket(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +276,25 @@ class Model:
             known = self.commoner[rarest] = bool(most >= COMMONER["single"] * counts[rarest])
         return known
 
+    def pattern(self) -> str:
+        """A Java pattern of every text with a word that some chain could change, or with a lost character."""
+        raised: dict[str, list[str]] = {}
+        for c in map(chr, range(0x80, 0x2100)):
+            if len(c.upper()) == 1 and c.upper() != c:
+                raised.setdefault(c.upper(), []).append(c)
+
+        def listed(chars) -> str:
+            every = {x for c in chars for x in (c, *raised.get(c, ()))}
+            return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(every)) + "]"
+
+        unseen = listed(map(chr, ZERO_WIDTH)) + "*"
+        parts = [listed("�"), f"{listed('Ã')}{unseen}(?=[ \\t\\r\\n]|\\z)"]
+        for table in TO_BYTE.values():
+            leads, following = (c for c, b in table.items() if 0xC2 <= b <= 0xF4), (c for c, b in table.items() if 0x80 <= b <= 0xBF)
+            parts.append(listed(leads) + unseen + listed(following))
+        single = [c for c in {c for table in TO_BYTE.values() for c in table} if self.replaceable(c)]
+        return "|".join([*parts, listed(single)] if single else parts)
+
     def best(self, word: str) -> tuple[str, float]:
         """The likeliest candidate of commoner characters and its gain over the word as it stands."""
         plain = word.translate(ZERO_WIDTH)
@@ -273,7 +306,7 @@ class Model:
             return word, 0.0
         chosen, gain, stands = word, 0.0, self.log_likelihood(plain)
         for candidate, kind in candidates(word, utf8, single).items():
-            if self.rarest(candidate) >= floor * COMMONER[kind] and not _LOST.search(candidate):
+            if self.rarest(candidate) >= floor * COMMONER[kind] and not _UNCLEAN.search(candidate):
                 more = self.log_likelihood(candidate) - stands + PRIOR[kind]
                 if more > gain:
                     chosen, gain = candidate, more
@@ -317,37 +350,50 @@ def restore_text(model: Model, text: str) -> tuple[str, bool]:
 
 
 def _looks_clean(text: str) -> bool:
-    if _LOST.search(text) is not None:
+    if _UNCLEAN.search(text) is not None:
         return False
     return not HAS_ANY.search(text) or all(
         _RUN.sub(lambda m, t=TO_BYTE[e]: _utf8_run(m.group(), t), text) == text for e in ("cp1252", "mac_roman", "cp437")
     )
 
 
+SIZES = {"tri": 1 << TRI_BITS, "context": 1 << BI_BITS, "pair": 1 << BI_BITS, "single": CLASSES}
+#: Characters that are counted at once.
+SLICE = 500_000
+_SPACES = re.compile(r"[ \t\r\n]+")
+
+
+def _add(texts: list[str], total: dict[str, np.ndarray]) -> None:
+    code = _classes(_SPACES.sub("  ", "\n".join(["", *texts, ""])))  # as words are scored
+    a, b, c = code[:-2], code[1:-1], code[2:]
+    keep = ~((b == 32) & (c == 32))
+    a, b, c = a[keep], b[keep], c[keep]
+    tri, bi = _bucket(a, b, c)
+    _, second = _bucket(b, c, c)
+    for kind, at in (("tri", tri), ("context", bi), ("pair", second), ("single", c)):
+        total[kind] += np.bincount(at, minlength=SIZES[kind])
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the hashed n-grams of a partition's clean texts."""
-    sizes = {"tri": 1 << TRI_BITS, "context": 1 << BI_BITS, "pair": 1 << BI_BITS, "single": CLASSES}
-    total = {k: np.zeros(n, np.int64) for k, n in sizes.items()}
+    """Counts of the hashed n-grams of a partition's clean texts, those of held-out records by themselves."""
+    totals = {held: {k: np.zeros(n, np.int64) for k, n in SIZES.items()} for held in (False, True)}
+    waiting: dict[bool, list[str]] = {False: [], True: []}
+    sizes = {False: 0, True: 0}
     for pdf in batches:
-        for start in range(0, len(pdf), 2000):
-            clean = [t for t in pdf["text"].iloc[start : start + 2000] if _looks_clean(t)]
-            if not clean:
-                continue
-            text = "  " + "  ".join(w for t in clean for w in _SPLIT.split(t)[::2]) + "  "  # as words are scored
-            code = _classes(text)
-            a, b, c = code[:-2], code[1:-1], code[2:]
-            keep = ~((b == 32) & (c == 32))
-            a, b, c = a[keep], b[keep], c[keep]
-            tri, bi = _bucket(a, b, c)
-            _, second = _bucket(b, c, c)
-            total["tri"] += np.bincount(tri, minlength=sizes["tri"])
-            total["context"] += np.bincount(bi, minlength=sizes["context"])
-            total["pair"] += np.bincount(second, minlength=sizes["pair"])
-            total["single"] += np.bincount(c, minlength=sizes["single"])
-    for kind, counts in total.items():
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pd.DataFrame({"kind": kind, "bucket": at, "n": counts[at]})
+        for text, held in zip(pdf["text"], pdf["held"], strict=True):
+            if text.isascii() or _looks_clean(text):
+                waiting[held].append(text)
+                sizes[held] += len(text)
+                if sizes[held] > SLICE:
+                    _add(waiting[held], totals[held])
+                    waiting[held], sizes[held] = [], 0
+    for held, total in totals.items():
+        if waiting[held]:
+            _add(waiting[held], total)
+        for kind, counts in total.items():
+            at = np.flatnonzero(counts)
+            if len(at):
+                yield pd.DataFrame({"held": held, "kind": kind, "bucket": at, "n": counts[at]})
 
 
 def _garble(word: str, read: str, written: str) -> str | None:
@@ -358,49 +404,75 @@ def _garble(word: str, read: str, written: str) -> str | None:
     return "".join(chr(b) if b < 128 else TO_CHAR[read][b] for b in code)
 
 
-def validate_margin(model: Model, words: list[str]) -> float:
-    """The margin with the fewest errors on words garbled on purpose and the same words unharmed."""
-    chains = [("cp1252", "utf-8"), ("cp850", "utf-8"), ("mac_roman", "utf-8"), ("cp1252", "cp850"), ("latin-1", "mac_roman")]
-    trials = []
-    for k, word in enumerate(words):
-        read, written = chains[k % len(chains)]
-        trials.append((word, False))
-        spoilt = _garble(word, read, written)
-        if spoilt is not None and spoilt != word:
-            trials.append((spoilt, True))
-    gains = np.array([model.best(w)[1] for w, _ in trials])
-    spoilt = np.array([bad for _, bad in trials])
-    errors = [int(((gains > margin) != spoilt).sum()) for margin in MARGINS]
-    least = min(errors)
-    good = [m for m, e in zip(MARGINS, errors, strict=True) if e <= least + len(trials) // 1000]
+# Chains that words are garbled by for validation (read as, written in).
+TRIALS = (("cp1252", "utf-8"), ("cp850", "utf-8"), ("mac_roman", "utf-8"), ("cp1252", "cp850"), ("latin-1", "mac_roman"))
+
+
+def margin_errors(model: Model, words: list[str]) -> tuple[np.ndarray, int]:
+    """Errors of each margin on words unharmed and garbled on purpose, and the number of trials."""
+    gains, spoilt = [], []
+    for word in words:
+        if not _looks_clean(word):
+            continue
+        bad = _garble(word, *TRIALS[crc32(word.encode("utf-8", "replace")) % len(TRIALS)])
+        for form, harmed in ((word, False), (bad, True)):
+            if form is not None and (form != word or not harmed):
+                gains.append(model.best(form)[1])
+                spoilt.append(harmed)
+    gains, spoilt = np.array(gains), np.array(spoilt, bool)
+    return np.array([int(((gains > margin) != spoilt).sum()) for margin in MARGINS]), len(gains)
+
+
+def choose_margin(errors: np.ndarray, trials: int) -> float:
+    """The greatest margin of hardly more errors than the best has."""
+    good = [m for m, e in zip(MARGINS, errors, strict=True) if e <= errors.min() + trials // 1000]
     return good[-1]
 
 
-def fit(texts: DataFrame, text_col: str = "text", validation_words: int = VALIDATION_WORDS) -> Model:
-    """The model of all clean texts; only tables of fixed size and a bounded sample reach the driver."""
-    source = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
-    rows = source.mapInPandas(_count, "kind string, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    counts = rows.toPandas()
-    arrays = {}
-    for kind, size in (("tri", 1 << TRI_BITS), ("context", 1 << BI_BITS), ("pair", 1 << BI_BITS), ("single", CLASSES)):
-        part = counts[counts["kind"] == kind]
-        arrays[kind] = np.zeros(size, np.float32)
-        arrays[kind][part["bucket"].to_numpy(np.int64)] = part["n"].to_numpy(np.float32)
+def _model(counts: dict[str, np.ndarray]) -> Model:
+    arrays = {kind: n.astype(np.float32) for kind, n in counts.items()}
     noise = NOISE_COUNT + NOISE_SHARE * float(arrays["single"].sum())
     for kind in ("tri", "pair"):
         arrays[kind] = np.maximum(arrays[kind] - noise, 0)
-    model = Model(**arrays)
-    drawn = (
-        source.select(F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("word"))
+    return Model(**arrays)
+
+
+def fit(texts: DataFrame, text_col: str = "text", held_out: int = HELD_OUT) -> Model:
+    """The model of all clean texts; only tables of fixed size and the margins' errors reach the driver.
+
+    One record of ``held_out`` is left out of the counts at first; the margin with the fewest
+    errors on its words is taken, and its counts are added then.
+    """
+    held = F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0
+    source = texts.select(F.col(text_col).alias("text")).where(F.length("text") > 0).withColumn("held", held)
+    rows = source.mapInPandas(_count, "held boolean, kind string, bucket long, n long").groupBy("held", "kind", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.toPandas()
+    parts = []
+    for own in (False, True):
+        part = {}
+        for kind, size in SIZES.items():
+            found = counts[(counts["kind"] == kind) & (counts["held"] == own)]
+            part[kind] = np.zeros(size, np.int64)
+            part[kind][found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+        parts.append(part)
+    model = _model({kind: parts[0][kind] + parts[1][kind] for kind in SIZES})
+    tested = texts.sparkSession.sparkContext.broadcast(_model(parts[0]))
+
+    def validate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        errors, trials = np.zeros(len(MARGINS), np.int64), 0
+        for pdf in batches:
+            more, n = margin_errors(tested.value, pdf["word"].to_list())
+            errors, trials = errors + more, trials + n
+        yield pd.DataFrame({"margin": range(len(MARGINS)), "errors": errors, "trials": trials})
+
+    words = (
+        source.where("held").select(F.explode(F.split("text", "[ \\t\\r\\n]+")).alias("word"))
         .where(F.col("word").rlike("[^\\x00-\\x7f]") & (F.length("word") > 3) & (F.length("word") < 40))
         .distinct()
-        .orderBy(F.xxhash64("word"), "word")
-        .limit(validation_words)
-        .collect()
-    )
-    clean = [r[0] for r in drawn if _looks_clean(r[0])]
-    if clean:
-        model.margin = validate_margin(model, clean)
+    )
+    found = spread(words).mapInPandas(validate, "margin int, errors long, trials long").groupBy("margin").agg(F.sum("errors"), F.sum("trials")).orderBy("margin").collect()
+    if found and found[0][2]:
+        model.margin = choose_margin(np.array([r[1] for r in found]), found[0][2])
     return model
 
 
@@ -425,5 +497,5 @@ def restore_rows(df: DataFrame, model: Model, id_col: str, text_col: str) -> Dat
             if keys:
                 yield pd.DataFrame({"row_id": keys, "restored": out})
 
-    source = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
+    source = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(model.pattern()))
     return source.mapInPandas(run, f"row_id {id_type}, restored string").distinct()

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -16,7 +17,7 @@ def clean():
 
 @pytest.fixture(scope="module")
 def model(spark, clean):
-    return G.fit(spark.createDataFrame([(t,) for t in clean], "text string"), validation_words=60)
+    return G.fit(spark.createDataFrame([(t,) for t in clean], "text string"), held_out=8)
 
 
 @pytest.mark.parametrize(("read", "written"), [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp850", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp1251", "utf-8"), ("cp1252", "cp850"), ("latin-1", "mac_roman")])
@@ -52,3 +53,26 @@ def test_no_case_at_all(spark, model):
 def test_fit_on_nothing(spark):
     assert G.fit(spark.createDataFrame([("dÃ©cÃ¨s",), ("",), (None,)], "text string").repartition(4)).restore("été") == "été"
     assert G.fit(spark.createDataFrame([], "text string")).restore("été") == "été"
+
+
+def test_pattern_keeps_whatever_can_change(model):
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), model.pattern()).replace(r"\z", r"\Z"))
+    changed = 0
+    for word in WORDS:
+        for read in G.READ_AS:
+            for written in ("utf-8", "cp850", "cp1252", "mac_roman"):
+                bad = G._garble(word, read, written)
+                for form in (bad, bad and bad.lower(), bad and bad.upper(), bad and "\u200b".join(bad), bad and bad.rstrip("\xa0")):
+                    if form and model.restore(form) != form:
+                        changed += 1
+                        assert pattern.search("x " + form + " y") and pattern.search(form)
+    assert changed > 150
+    assert not pattern.search("une épidémie à São Paulo, « âgées » : fièvre")
+
+
+def test_margin_on_held_out_words(model):
+    errors, trials = G.margin_errors(model, ["fièvre", "hémorragique", "âgées", "plain", "dÃ©cÃ¨s"])
+    assert trials >= 6 and len(errors) == len(G.MARGINS)
+    import numpy as np
+
+    assert G.choose_margin(np.array([5, 0, 0, 3]), 10) == 3.0
