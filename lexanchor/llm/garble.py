@@ -272,7 +272,9 @@ class Model:
         known = self.commoner.get(rarest)
         if known is None:
             others = [TO_CHAR[written].get(TO_BYTE[read].get(rarest, -1)) for read, written in SINGLE_BYTE]
-            most = max((self.single[_classes(c)[0]] + 0.05 for c in others if c and c != rarest), default=0.0)
+            # a letter stays a letter
+            fit = [c for c in others if c and c != rarest and (c.isalpha() or not rarest.isalpha())]
+            most = max((self.single[_classes(c)[0]] + 0.05 for c in fit), default=0.0)
             known = self.commoner[rarest] = bool(most >= COMMONER["single"] * counts[rarest])
         return known
 
@@ -283,8 +285,8 @@ class Model:
             if len(c.upper()) == 1 and c.upper() != c:
                 raised.setdefault(c.upper(), []).append(c)
 
-        def listed(chars) -> str:
-            every = {x for c in chars for x in (c, *raised.get(c, ()))}
+        def listed(chars, lower: bool = True) -> str:
+            every = {x for c in chars for x in (c, *(raised.get(c, ()) if lower else ()))}
             return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(every)) + "]"
 
         unseen = listed(map(chr, ZERO_WIDTH)) + "*"
@@ -293,7 +295,8 @@ class Model:
             leads, following = (c for c, b in table.items() if 0xC2 <= b <= 0xF4), (c for c, b in table.items() if 0x80 <= b <= 0xBF)
             parts.append(listed(leads) + unseen + listed(following))
         single = [c for c in {c for table in TO_BYTE.values() for c in table} if self.replaceable(c)]
-        return "|".join([*parts, listed(single)] if single else parts)
+        # every alternative begins beyond ASCII, which is tested first
+        return f"(?=[^\\x00-\\x7f])(?:{'|'.join([*parts, listed(single, False)] if single else parts)})"
 
     def best(self, word: str) -> tuple[str, float]:
         """The likeliest candidate of commoner characters and its gain over the word as it stands."""
