@@ -1,9 +1,12 @@
 """Reading level of each document: regularised ordinal regression calibrated to graded texts.
 
-Features: lexical diversity, rarity of words (counts over all documents in a hashed table of
-fixed size), connectives, a proxy of clause depth, and lengths of words and sentences. The
-proportional-odds model is fitted on the rated documents, of which at most a documented number
-is used, and applied to every document that has a word.
+Features: lexical diversity, rarity of words, connectives, a proxy of clause depth (connectives,
+commas and brackets of a sentence, on average and at most), and lengths of words and sentences.
+Texts are split into words once; what rarity needs is kept as word codes beside the other features.
+Rarity is the share of a word in all documents, down to a least share that bounds the table and
+keeps the feature the same at any size. The proportional-odds model is fitted on the rated
+documents, of which at most a documented number is used, with the penalty that does best on a
+held-out fifth of them, and applied to every document that has a word.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexanchor.llm.words import strip_marks
+from lexanchor.session import cut_lineage
 
-WORD_BITS = 18
+#: The least share of all words that is told from lesser ones: 2^20 words at most have it.
+LEAST_SHARE = 2.0**-20
 #: Rated documents that the model is fitted on, a documented bound; they are drawn by hash.
 MOST_RATED = 20_000
 BANDS = 4
-PENALTY = 0.5
+PENALTIES = (0.1, 0.5, 2.0, 8.0)
+#: Documents whose features are computed at once.
+SLICE = 400
 
 # Connectives of French, English and Spanish, without accents.
 CONNECTIVES = frozenset(
@@ -39,42 +46,91 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"[.!?;:…]+(?:\s|$)|[\r\n]+|(?:^|\s)[-*•]\s")
 NAMES = (
-    "word_length", "long_words", "longer_words", "sentence_length", "sentence_median", "sentence_max", "short_sentences",
-    "long_sentences", "diversity", "rarity", "rarity_high", "connectives", "commas", "depth", "digits", "word_median",
+    "word_length", "long_words", "longer_words", "sentence_length", "sentence_median", "sentence_max", "short_sentences", "long_sentences",
+    "diversity", "connectives", "commas", "depth", "deepest", "digits", "word_median", "rarity", "rarity_high",
 )
 
 
-def _code(word: str, kept: dict[str, int]) -> int:
-    """Twice the word's bucket in the count table, plus one for a connective."""
-    code = kept.get(word)
-    if code is None:
-        if len(kept) > 500_000:
-            kept.clear()
+class WordCodes(dict):
+    """Twice a word's 32-bit code, plus one for a connective; a word is looked at once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
         plain = strip_marks(word.casefold())
         joins = plain in CONNECTIVES or plain.replace("’", "'").partition("'")[0] in CONNECTIVES
-        code = kept[word] = (crc32(plain.encode("utf-8", "replace")) >> (32 - WORD_BITS)) * 2 + joins
-    return code
+        code = self[word] = crc32(plain.encode("utf-8", "replace")) * 2 + joins
+        return code
+
+
+def _quantile(values: np.ndarray, sizes: np.ndarray, q: float) -> np.ndarray:
+    """The quantile of each group of values that follow each other; groups aren't empty."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ordered = values[np.lexsort((values, owner))]
+    starts = np.cumsum(sizes) - sizes
+    at = q * (sizes - 1)
+    low = np.floor(at).astype(np.int64)
+    high = np.minimum(low + 1, sizes - 1)
+    return ordered[starts + low] + (at - low) * (ordered[starts + high] - ordered[starts + low])
+
+
+def _mean(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values.astype(np.float64), np.cumsum(sizes) - sizes) / sizes
+
+
+def features(texts: list[str], kept: WordCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ordinals of the texts that have a word, their features but rarity, word codes of all of them, words of each)."""
+    at, sentences, commas, sizes, words, digits = [], [], [], [], [], []
+    for k, text in enumerate(texts):
+        n = 0
+        for part in _SENTENCE.split(text):
+            found = _WORD.findall(part)
+            if found:
+                words += found
+                sizes.append(len(found))
+                commas.append(part.count(",") + part.count("("))
+                n += 1
+        if n:
+            at.append(k)
+            sentences.append(n)
+            digits.append(len(_DIGIT.findall(text)) / len(text))
+    if not at:
+        return np.empty(0, np.int64), np.empty((0, len(NAMES) - 2)), np.empty(0, np.int64), np.empty(0, np.int64)
+    sentences, sizes, commas = np.array(sentences), np.array(sizes), np.array(commas)
+    totals = np.add.reduceat(sizes, np.cumsum(sentences) - sentences)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(at)), totals)
+    order = np.lexsort((codes, owner))
+    new = np.concatenate(([True], (codes[order][1:] != codes[order][:-1]) | (owner[order][1:] != owner[order][:-1])))
+    distinct = np.bincount(owner[order][new], minlength=len(at))
+    joined = np.add.reduceat(codes & 1, np.cumsum(sizes) - sizes)
+    clauses = commas + joined
+    first = np.cumsum(sentences) - sentences
+    x = np.stack(
+        [
+            _mean(lengths, totals), _mean(lengths >= 8, totals), _mean(lengths >= 12, totals), np.log(_mean(sizes, sentences)),
+            np.log(_quantile(sizes, sentences, 0.5)), np.log(np.maximum.reduceat(sizes, first)), _mean(sizes <= 9, sentences), _mean(sizes >= 28, sentences),
+            np.log(distinct / np.sqrt(totals)), np.add.reduceat(joined, first) / totals, np.add.reduceat(commas, first) / totals,
+            np.log1p(_mean(clauses, sentences)), np.log1p(np.maximum.reduceat(clauses, first)), np.array(digits), _quantile(lengths, totals, 0.5),
+        ],
+        axis=1,
+    )
+    return np.array(at), x, codes >> 1, totals
 
 
-def features(text: str, counts: np.ndarray, kept: dict[str, int]) -> list[float] | None:
-    """The features of a text, or None if it has no word."""
-    sentences = [found for part in _SENTENCE.split(text) if (found := _WORD.findall(part))]
-    if not sentences:
-        return None
-    words = [w for found in sentences for w in found]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    sizes = np.array([len(found) for found in sentences])
-    codes = np.fromiter((_code(w, kept) for w in words), np.int64, len(words))
-    rarity = -np.log(np.maximum(counts[codes >> 1], 1.0) / max(float(counts[-1]), 1.0))
-    joined = int((codes & 1).sum())
-    commas = text.count(",") + text.count("(")
-    n, m = len(words), len(sizes)
-    return [
-        float(lengths.mean()), float((lengths >= 8).mean()), float((lengths >= 12).mean()), float(np.log(sizes.mean())),
-        float(np.log(np.median(sizes))), float(np.log(sizes.max())), float((sizes <= 9).mean()), float((sizes >= 28).mean()),
-        float(np.log(len(np.unique(codes)) / np.sqrt(n))), float(rarity.mean()), float(np.quantile(rarity, 0.75)), joined / n,
-        commas / n, float(np.log1p((commas + joined) / m)), len(_DIGIT.findall(text)) / len(text), float(np.median(lengths)),
-    ]
+@dataclass
+class WordShares:
+    """Shares of the words that are common enough, by sorted code."""
+
+    codes: np.ndarray
+    shares: np.ndarray
+
+    def rarity(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(codes), -np.log(LEAST_SHARE))
+        k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return -np.log(np.where(self.codes[k] == codes, self.shares[k], LEAST_SHARE))
 
 
 @dataclass
@@ -101,7 +157,7 @@ class OrdinalModel:
         return np.diff(edges, axis=1).argmax(axis=1) + 1
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, bands: int = BANDS, penalty: float = PENALTY, rounds: int = 400) -> OrdinalModel:
+def fit_ordinal(x: np.ndarray, y: np.ndarray, bands: int = BANDS, penalty: float = 0.5, rounds: int = 400) -> OrdinalModel:
     """Penalised maximum likelihood by gradient steps with momentum and step control."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
@@ -167,40 +223,53 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, bands: int = BANDS, penalty: float
     return model
 
 
-def word_counts(documents: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of the hashed words of all documents, and their sum at the end; only this table of fixed size reaches the driver."""
+def validated_fit(x: np.ndarray, y: np.ndarray) -> OrdinalModel:
+    """The model of all rated documents with the penalty that is right most often on a fifth of them held out."""
+    held = np.arange(len(y)) % 5 == 4
+    if held.sum() < 20:
+        return fit_ordinal(x, y)
+    right = [(fit_ordinal(x[~held], y[~held], penalty=p).bands(x[held]) == y[held]).mean() for p in PENALTIES]
+    return fit_ordinal(x, y, penalty=PENALTIES[int(np.argmax(right))])
+
+
+def split_texts(source: DataFrame) -> DataFrame:
+    """``(doc_id, x, codes)`` of every ``source(doc_id, text)`` with a word."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, kept = np.zeros(1 << WORD_BITS, np.int64), {}
+        kept = WordCodes()
         for pdf in batches:
-            for start in range(0, len(pdf), 500):
-                codes = [_code(w, kept) >> 1 for text in pdf["text"].iloc[start : start + 500] for w in _WORD.findall(text)]
-                total += np.bincount(np.array(codes, np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+            for start in range(0, len(pdf), SLICE):
+                part = pdf.iloc[start : start + SLICE]
+                at, x, codes, totals = features(part["text"].to_list(), kept)
+                if len(at):
+                    parts = np.split(codes.astype(np.uint32).view(np.int32), np.cumsum(totals)[:-1])
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[at], "x": list(x), "codes": parts})
 
-    source = documents.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
-    rows = source.mapInPandas(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((1 << WORD_BITS) + 1)
-    counts[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    counts[-1] = counts.sum()
-    return counts
+    return source.mapInPandas(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, x array<double>, codes array<int>")
 
 
-def _features_of(counts):
+def word_shares(documents: DataFrame, least: float = LEAST_SHARE) -> WordShares:
+    """Shares of all words of ``documents(codes)`` that are at least ``least``, of which there are 1 / least at most."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, kept = counts.value, {}
         for pdf in batches:
-            keys, rows = [], []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                found = features(text, table, kept)
-                if found is not None:
-                    keys.append(key)
-                    rows.append(found)
-            if keys:
-                yield pd.DataFrame({"doc_id": keys, "x": rows})
+            if len(pdf):
+                codes, n = np.unique(np.concatenate(pdf["codes"].to_list()), return_counts=True)
+                yield pd.DataFrame({"code": codes, "n": n})
+
+    counted = documents.select("codes").mapInPandas(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    total = documents.select(F.sum(F.size("codes"))).first()[0] or 1
+    rows = counted.where(F.col("n") >= least * total).toPandas()
+    codes, shares = rows["code"].to_numpy(np.int32), rows["n"].to_numpy(np.float64) / total
+    order = np.argsort(codes)
+    return WordShares(codes[order], shares[order])
 
-    return run
+
+def whole_features(pdf: pd.DataFrame, shares: WordShares) -> np.ndarray:
+    """The features of a batch with rarity added."""
+    sizes = pdf["codes"].map(len).to_numpy()
+    rarity = shares.rarity(np.concatenate(pdf["codes"].to_list()).astype(np.int32))
+    return np.column_stack([np.stack(pdf["x"].to_list()), _mean(rarity, sizes), _quantile(rarity, sizes, 0.75)])
 
 
 def reading_levels(
@@ -216,7 +285,8 @@ def reading_levels(
     spark = documents.sparkSession
     id_type = documents.schema[id_col].dataType.simpleString()
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    counts = spark.sparkContext.broadcast(word_counts(source))
+    known = cut_lineage(split_texts(source))  # read three times below, split once
+    shares = spark.sparkContext.broadcast(word_shares(known))
     rated = (
         labels.where(F.col("band").between(1, BANDS))
         .select(F.col(id_col).alias("doc_id"), "rater", "band")
@@ -226,20 +296,21 @@ def reading_levels(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_rated)
     )
-    graded = (
-        source.join(F.broadcast(rated.select("doc_id")), "doc_id", "left_semi")
-        .mapInPandas(_features_of(counts), f"doc_id {id_type}, x array<double>")
-        .join(rated, "doc_id")
-        .select("x", "level")
-        .toPandas()
-    )
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"level": pdf["level"], "x": list(whole_features(pdf, shares.value))})
+
+    graded = known.join(F.broadcast(rated), "doc_id").mapInPandas(whole, "level double, x array<double>").orderBy("level", "x").toPandas()
     if not len(graded):
         return spark.createDataFrame([], f"doc_id {id_type}, band long")
     level = np.floor(graded["level"].to_numpy(np.float64) + 0.5).astype(np.int64)
-    model = spark.sparkContext.broadcast(fit_ordinal(np.stack(graded["x"].to_numpy()), level))
+    model = spark.sparkContext.broadcast(validated_fit(np.stack(graded["x"].to_numpy()), level))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _features_of(counts)(batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": model.value.bands(np.stack(pdf["x"].to_numpy()))})
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": model.value.bands(whole_features(pdf, shares.value))})
 
-    return source.mapInPandas(run, f"doc_id {id_type}, band long").distinct()
+    return known.mapInPandas(run, f"doc_id {id_type}, band long").distinct()

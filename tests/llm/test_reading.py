@@ -41,3 +41,23 @@ def test_query_form(spark):
     assert set(got) == set(range(120)) | {903, 904} and set(got.values()) <= {1, 2, 3, 4}
     assert np.mean([got[k] == k % 3 + 1 for k in range(0, 120, 2)]) > 0.95  # documents without a rating
     assert rows(R.reading_levels(df, lab.limit(0))) == [] == rows(R.reading_levels(df.limit(0), lab))
+
+
+def test_features_of_a_batch_equal_those_of_single_texts():
+    texts = [EASY, "12", HARD + " " + MIDDLE, "", MIDDLE, "mot"]
+    at, x, codes, totals = R.features(texts, R.WordCodes())
+    assert at.tolist() == [0, 2, 4, 5] and totals.sum() == len(codes)
+    start = 0
+    for k, row, n in zip(at, x, totals, strict=True):
+        one = R.features([texts[k]], R.WordCodes())
+        assert np.allclose(one[1][0], row) and (one[2] == codes[start : start + n]).all()
+        start += n
+    values, sizes = np.array([3.0, 1, 2, 9, 4, 4, 7]), np.array([3, 1, 3])
+    assert np.allclose(R._quantile(values, sizes, 0.75), [np.quantile(p, 0.75) for p in (values[:3], values[3:4], values[4:])])
+
+
+def test_rare_words_share_one_floor(spark):
+    words = spark.createDataFrame([([1] * 6 + [2] * 3 + [3],), ([1, 1],)], "codes array<int>")
+    shares = R.word_shares(words, least=0.2)
+    assert shares.codes.tolist() == [1, 2] and np.allclose(shares.shares, [8 / 12, 3 / 12])
+    assert np.allclose(shares.rarity(np.array([3, 1], np.int32)), [-np.log(R.LEAST_SHARE), -np.log(8 / 12)])
