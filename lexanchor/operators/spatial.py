@@ -1,12 +1,16 @@
-"""Radius self-join on the sphere: Voronoi cells around pivots and local vantage-point trees.
-
-Plan: a bounded set of pivots is drawn by hash order and broadcast (its size is a
-parameter). Every point goes to the cell of its nearest pivot and is replicated to each
-cell whose pivot is at most ``2 r`` farther away, which by the triangle inequality puts
-both ends of every pair within ``r`` into the home cell of either end. A pair is emitted
-only in the home cell of its smaller id, so no deduplicating shuffle follows. A cell with
-more points than ``max_cell`` is cut into hash chunks and joined chunk by chunk, so that
-no task ever holds an unbounded group however the points are spread.
+"""Radius self-join and region containment on the sphere: Voronoi cells around pivots and local vantage-point trees.
+
+Plan: a bounded set of pivots is drawn by hash order and broadcast (its size is a parameter).
+Every point goes to the cell of its nearest pivot, which a tree over the pivots finds, and is
+replicated to each cell whose pivot is at most ``2 r`` farther away, which by the triangle
+inequality puts both ends of every pair within ``r`` into the home cell of either end. A pair is
+emitted only in the home cell of its smaller id. A cell with more points than ``max_cell`` gets
+pivots of its own, and its points are placed among them by the same rule, again and again; cells
+too narrow for that, in which a good part of all pairs is within the radius, are joined in chunks,
+so that no task ever holds an unbounded group however the points are spread.
+
+Regions are polygons. A region goes to every cell that may be home to a point in it, by the same
+inequality with the radius of its hull, and is tested exactly there.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexanchor.session import cut_lineage
+
 EARTH_KM = 6371.0
 LEAF = 24
 #: Slack in radians (about 6 micrometres) for rounding in the pruning tests; the final test is exact.
@@ -77,8 +83,34 @@ class VantagePointTree:
             work.append((rest[~near], at, 4))
         return root
 
-    def within(self, queries: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, member) index pairs at an angle of at most ``radius``."""
+    def nearest(self, queries: np.ndarray) -> np.ndarray:
+        """The angle from each query to the nearest member."""
+        best = np.full(len(queries), np.inf)
+
+        def visit(at: int, asked: np.ndarray) -> None:
+            if at < 0 or not len(asked):
+                return
+            vantage, content, _, near, far = self.nodes[at]
+            if vantage is None:
+                if len(content):
+                    d = angles(queries[asked][:, None, :], self.xyz[content][None, :, :]).min(axis=1)
+                    best[asked] = np.minimum(best[asked], d)
+                return
+            d = angles(queries[asked], self.xyz[vantage])
+            best[asked] = np.minimum(best[asked], d)
+            middle, low = content
+            inner = d <= middle
+            visit(near, asked[inner])
+            visit(far, asked[~inner])
+            visit(far, asked[inner & (d + best[asked] >= low)])
+            visit(near, asked[~inner & (d - best[asked] <= middle)])
+
+        visit(self.root, np.arange(len(queries)))
+        return best
+
+    def within(self, queries: np.ndarray, radius: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, member) index pairs at an angle of at most ``radius``, which each query may have of its own."""
+        radius = np.broadcast_to(radius, len(queries))
         left, right = [], []
         work = [(self.root, np.arange(len(queries)))] if self.root >= 0 else []
         while work:
@@ -89,38 +121,61 @@ class VantagePointTree:
             if vantage is None:
                 if len(content):
                     d = angles(queries[asked][:, None, :], self.xyz[content][None, :, :])
-                    q, m = np.nonzero(d <= radius)
+                    q, m = np.nonzero(d <= radius[asked][:, None])
                     left.append(asked[q])
                     right.append(content[m])
                 continue
             d = angles(queries[asked], self.xyz[vantage])
-            hit = asked[d <= radius]
+            own = radius[asked]
+            hit = asked[d <= own]
             left.append(hit)
             right.append(np.full(len(hit), vantage))
             middle, low = content
-            work.append((near, asked[d <= middle + radius]))
-            work.append((far, asked[d >= low - radius]))
+            work.append((near, asked[d <= middle + own]))
+            work.append((far, asked[d >= low - own]))
         if not left:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(left), np.concatenate(right)
 
 
-def _assign(pivots: np.ndarray, reach: float, block: int = 1024):
+def cells_of(tree: VantagePointTree, xyz: np.ndarray, reach: float | np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it's the row's home) of the nearest pivot of each point and of every one at most ``reach`` farther."""
+    row, cell = tree.within(xyz, tree.nearest(xyz) + reach + SLACK)
+    order = np.lexsort((cell, angles(xyz[row], tree.xyz[cell]), row))
+    row, cell = row[order], cell[order]
+    home = np.ones(len(row), bool)
+    home[1:] = row[1:] != row[:-1]
+    return row, cell, home
+
+
+def _assign(pivots, reach: float):
     """Home cell and replica cells of each point."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = None
         for pdf in batches:
-            for start in range(0, len(pdf), block):
-                part = pdf.iloc[start : start + block]
-                xyz = unit_vectors(part["lat"].to_numpy(), part["lon"].to_numpy())
-                dots = np.clip(xyz @ pivots.T, -1.0, 1.0)
-                home = dots.argmax(axis=1)
-                limit = np.arccos(dots.max(axis=1)) + reach + 1e-7
-                floor = np.where(limit >= np.pi, -1.0, np.cos(np.minimum(limit, np.pi)))
-                row, cell = np.nonzero(dots >= floor[:, None])
+            tree = tree or VantagePointTree(pivots.value)
+            row, cell, home = cells_of(tree, unit_vectors(pdf["lat"].to_numpy(), pdf["lon"].to_numpy()), reach)
+            out = pdf.iloc[row].reset_index(drop=True)
+            out["cell"], out["home"] = cell.astype(str), home
+            yield out
+
+    return run
+
+
+def _assign_again(pivots, reach: float):
+    """Points of crowded cells placed among their cell's own pivots; a cell no wider than the reach stays whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, part in pdf.groupby("cell"):
+                own = pivots.value.get(name)
+                if own is None or len(own) < 2 or angles(own[:1], own).max() <= reach:
+                    yield part.assign(cell=f"{name}!")  # not cut again
+                    continue
+                row, cell, home = cells_of(VantagePointTree(own), unit_vectors(part["lat"].to_numpy(), part["lon"].to_numpy()), reach)
                 out = part.iloc[row].reset_index(drop=True)
-                out["cell"] = cell.astype(np.int32)
-                out["home"] = home[row] == cell
+                out["cell"], out["home"] = f"{name}/" + pd.Series(cell).astype(str), out["home"].to_numpy() & home
                 yield out
 
     return run
@@ -167,6 +222,42 @@ def valid_points(df: DataFrame, id_col: str, lat_col: str, lon_col: str) -> Data
     )
 
 
+#: Pivots of a crowded cell, on average, and how often cells are cut.
+BRANCH, LEVELS = 256, 6
+
+
+def _draw_pivots(points: DataFrame, n: int, points_per_pivot: int, max_pivots: int):
+    wanted = max(1, min(max_pivots, n // points_per_pivot))
+    drawn = points.select("lat", "lon").orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(wanted).collect()
+    return points.sparkSession.sparkContext.broadcast(unit_vectors(np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn])))
+
+
+def place_points(points: DataFrame, n: int, reach: float, points_per_pivot: int, max_pivots: int, max_cell: int) -> DataFrame:
+    """``(id, lat, lon, cell, home, parts)`` of points in their cells; cells of more than ``max_cell`` points are to be joined in parts.
+
+    Of each level, the ``max_pivots`` most crowded cells are cut at most, which bounds the
+    pivots that are broadcast to ``max_pivots * BRANCH``; what stays crowded has several parts.
+    """
+    context = points.sparkSession.sparkContext
+    schema = f"id {points.schema['id'].dataType.simpleString()}, lat double, lon double, cell string, home boolean"
+    placed = cut_lineage(points.mapInPandas(_assign(_draw_pivots(points, n, points_per_pivot, max_pivots), reach), schema))
+    for level in range(LEVELS):
+        loads = placed.groupBy("cell").count()
+        crowded = loads.where((F.col("count") > max_cell) & ~F.col("cell").endswith("!")).orderBy(F.col("count").desc(), "cell").limit(max_pivots)
+        crowded = crowded.select("cell", F.least(F.lit(BRANCH), F.ceil(F.col("count") / points_per_pivot)).alias("wanted"), "count")
+        if not crowded.head(1):
+            break
+        hot = placed.join(F.broadcast(crowded), "cell")  # a bounded number of rows
+        chance = F.pmod(F.xxhash64("lat", "lon", F.lit(level)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * F.col("wanted") / F.col("count")
+        drawn = hot.where(chance).select("cell", "lat", "lon").distinct().toPandas()
+        own = {name: unit_vectors(part["lat"].to_numpy(), part["lon"].to_numpy()) for name, part in drawn.sort_values(["lat", "lon"]).groupby("cell")}
+        cut = hot.select("id", "lat", "lon", "cell", "home").mapInPandas(_assign_again(context.broadcast(own), reach), schema)
+        rest = placed.join(F.broadcast(crowded.select("cell")), "cell", "left_anti").select(*cut.columns)
+        placed = cut_lineage(rest.unionByName(cut))
+    loads = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(max_cell)).cast("int").alias("parts"))
+    return placed.join(loads, "cell")
+
+
 def radius_pairs(
     df: DataFrame,
     id_col: str,
@@ -180,9 +271,10 @@ def radius_pairs(
     """Pairs ``(a, b)``, a < b, of different ids less than ``radius_km`` apart.
 
     Nulls, NaN, infinities, out-of-range values and 0/0 are in no pair; repeated rows count
-    once; an id with several coordinates pairs through any of them; an empty table gives no
-    rows; other columns, whatever their names, are ignored. ``max_pivots`` bounds what is
-    broadcast (24 bytes a pivot), ``max_cell`` what one task holds of a cell.
+    once; an id with several coordinates pairs through any of them, wherefore pairs are made
+    distinct; an empty table gives no rows; other columns, whatever their names, are ignored.
+    ``max_pivots`` bounds what is broadcast (24 bytes a pivot), ``max_cell`` what one task
+    holds of a cell.
     """
     spark = df.sparkSession
     points = valid_points(df, id_col, lat_col, lon_col)
@@ -191,16 +283,8 @@ def radius_pairs(
     n = points.count()
     if n == 0:
         return spark.createDataFrame([], schema)
-    wanted = max(1, min(max_pivots, n // points_per_pivot))
-    drawn = points.select("lat", "lon").orderBy(F.xxhash64("id", "lat", "lon"), "lat", "lon").limit(wanted).collect()
-    pivots = unit_vectors(np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn]))
-
-    placed = points.mapInPandas(
-        _assign(pivots, 2 * (radius_km / EARTH_KM + SLACK)), f"id {id_type}, lat double, lon double, cell int, home boolean"
-    )
-    # at most one row a pivot, so this table is bounded and safe to broadcast
-    loads = placed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / F.lit(max_cell)).cast("int").alias("parts"))
-    chunked = placed.join(F.broadcast(loads), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = place_points(points, n, 2 * (radius_km / EARTH_KM + SLACK), points_per_pivot, max_pivots, max_cell)
+    chunked = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     grouped = (
         chunked.withColumn("other", F.explode(others))
@@ -210,3 +294,98 @@ def radius_pairs(
     )
     pairs = grouped.groupBy("cell", "i", "j").applyInPandas(_local_join(radius_km), schema)
     return pairs.distinct()
+
+
+def inside(lat: np.ndarray, lon: np.ndarray, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """Whether points lie in the polygon or on its border, its edges straight in latitude and longitude."""
+    odd, border = np.zeros(len(lat), bool), np.zeros(len(lat), bool)
+    for x1, y1, x2, y2 in zip(lons, lats, np.roll(lons, -1), np.roll(lats, -1), strict=True):
+        side = (x2 - x1) * (lat - y1) - (y2 - y1) * (lon - x1)
+        border |= (side == 0) & (lat >= min(y1, y2)) & (lat <= max(y1, y2)) & (lon >= min(x1, x2)) & (lon <= max(x1, x2))
+        crosses = (y1 > lat) != (y2 > lat)
+        odd ^= crosses & ((side < 0) if y2 > y1 else (side > 0))
+    return odd | border
+
+
+def hull(lats: np.ndarray, lons: np.ndarray) -> tuple[np.ndarray, float]:
+    """A centre and an angle from it that no point of the polygon exceeds."""
+    corners = unit_vectors(lats, lons)
+    centre = corners.sum(axis=0)
+    size = float(np.sqrt((centre**2).sum()))
+    if size < 1e-9:
+        return corners[0], np.pi
+    centre = centre / size
+    # a point of an edge is no farther from one of its ends than half the edge is long
+    edges = np.radians(np.hypot(np.roll(lats, -1) - lats, np.roll(lons, -1) - lons)) / 2
+    radius = float(angles(corners, centre[None, :]).max() + edges.max())
+    return centre, radius if radius < np.pi / 2 else np.pi
+
+
+def _place_regions(pivots):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = None
+        for pdf in batches:
+            tree = tree or VantagePointTree(pivots.value)
+            hulls = [hull(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["lats"], pdf["lons"], strict=True)]
+            if hulls:
+                row, cell, _ = cells_of(tree, np.stack([c for c, _ in hulls]), 2 * np.array([r for _, r in hulls]))
+                out = pdf.iloc[row].reset_index(drop=True)
+                out["cell"] = cell.astype(str)
+                yield out
+
+    return run
+
+
+def _contained(points: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
+    points = points.sort_values("lat", kind="stable")
+    lat, lon, ids = points["lat"].to_numpy(), points["lon"].to_numpy(), points["id"].to_numpy()
+    found, of = [ids[:0]], [regions["region"].to_numpy()[:0]]
+    for region, lats, lons in zip(regions["region"], regions["lats"], regions["lons"], strict=True):
+        lats, lons = np.asarray(lats, float), np.asarray(lons, float)
+        low, high = np.searchsorted(lat, lats.min(), "left"), np.searchsorted(lat, lats.max(), "right")
+        at = low + np.flatnonzero((lon[low:high] >= lons.min()) & (lon[low:high] <= lons.max()))
+        at = at[inside(lat[at], lon[at], lats, lons)]
+        if len(at):
+            found.append(ids[at])
+            of.append(np.array([region] * len(at), object))
+    return pd.DataFrame({"id": np.concatenate(found), "region": np.concatenate(of)})
+
+
+def containing_regions(
+    df: DataFrame,
+    id_col: str,
+    lat_col: str,
+    lon_col: str,
+    regions: DataFrame,
+    region_col: str = "region",
+    lats_col: str = "lats",
+    lons_col: str = "lons",
+    points_per_pivot: int = 1500,
+    max_pivots: int = 8192,
+    max_cell: int = 20_000,
+) -> DataFrame:
+    """Distinct ``(id, region)``: the point lies in the polygon or on its border.
+
+    Polygons are lists of corner latitudes and longitudes in order, not closed, with edges
+    straight in latitude and longitude, which don't cross the date line. Unusable points are as
+    in ``radius_pairs``; a region with fewer than three corners, null corners or lists of
+    different length contains nothing; an id with several coordinates is in any region of them;
+    an empty table gives no rows; other columns are ignored.
+    """
+    points = valid_points(df, id_col, lat_col, lon_col)
+    shapes = regions.select(F.col(region_col).alias("region"), F.col(lats_col).cast("array<double>").alias("lats"), F.col(lons_col).cast("array<double>").alias("lons"))
+    wrong = F.exists("lats", lambda x: x.isNull() | F.isnan(x)) | F.exists("lons", lambda x: x.isNull() | F.isnan(x))
+    shapes = shapes.where((F.size("lats") >= 3) & (F.size("lats") == F.size("lons")) & F.col("region").isNotNull()).where(~wrong).distinct()
+    id_type, region_type = points.schema["id"].dataType.simpleString(), shapes.schema["region"].dataType.simpleString()
+    schema = f"id {id_type}, region {region_type}"
+    n = points.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([], schema)
+    pivots = _draw_pivots(points, n, points_per_pivot, max_pivots)
+    homes = cut_lineage(points.mapInPandas(_assign(pivots, 0.0), f"id {id_type}, lat double, lon double, cell string, home boolean").where("home"))
+    loads = homes.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(max_cell)).cast("int").alias("parts"))
+    mine = homes.join(F.broadcast(loads), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = shapes.mapInPandas(_place_regions(pivots), f"region {region_type}, lats array<double>, lons array<double>, cell string")
+    theirs = placed.join(F.broadcast(loads), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = mine.select("cell", "part", "id", "lat", "lon").groupBy("cell", "part").cogroup(theirs.select("cell", "part", "region", "lats", "lons").groupBy("cell", "part"))
+    return both.applyInPandas(_contained, schema).distinct()

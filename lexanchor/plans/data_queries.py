@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexanchor.operators.nested import payload_record_triples, vocabulary_terms
 from lexanchor.operators.packed import explode_packed
-from lexanchor.operators.spatial import radius_pairs
+from lexanchor.operators.spatial import containing_regions, radius_pairs
 from lexanchor.plans.registry import Registry
 from lexanchor.session import table
 
@@ -36,6 +36,33 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("geonameid_a"), F.col("b").alias("geonameid_b"))
 
 
+HALF_SIDE = 0.25
+
+
+@REGISTRY.add(
+    "p2_regions",
+    f"""
+    WITH pts AS (
+      SELECT DISTINCT geonameid, feature_code, latitude AS lat, longitude AS lon FROM locations
+      WHERE geonameid IS NOT NULL AND isfinite(latitude) AND isfinite(longitude) AND abs(latitude) <= 90
+        AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0))
+    SELECT DISTINCT p.geonameid, r.geonameid AS region FROM pts r JOIN pts p
+      ON p.lat BETWEEN r.lat - {HALF_SIDE} AND r.lat + {HALF_SIDE} AND p.lon BETWEEN r.lon - {HALF_SIDE} AND r.lon + {HALF_SIDE}
+    WHERE r.feature_code IN ('PPLC', 'PPLA')
+    """,
+)
+def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions that contain each place: a square around every capital and seat."""
+    places = table(spark, sf_dir, "locations")
+    seats = places.where("feature_code in ('PPLC', 'PPLA') and geonameid is not null and abs(latitude) <= 90 and abs(longitude) <= 180")
+    seats = seats.where("not (latitude = 0 and longitude = 0)")
+    south, north = F.col("latitude") - HALF_SIDE, F.col("latitude") + HALF_SIDE
+    west, east = F.col("longitude") - HALF_SIDE, F.col("longitude") + HALF_SIDE
+    squares = seats.select(F.col("geonameid").alias("region"), F.array(south, south, north, north).alias("lats"), F.array(west, east, east, west).alias("lons"))
+    found = containing_regions(places, "geonameid", "latitude", "longitude", squares)
+    return found.withColumnRenamed("id", "geonameid")
+
+
 @REGISTRY.add(
     "p3_found",
     r"""

@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-FAST = ["t1_normalize", "t4_strip_prefix", "link_places", "link_terms", "c1_link", "j10_acronyms", "j11_validate", "a5_metrics", "l3_rerank_stub", "p2_found", "p3_found", "j2_cascade", "r4_postprocess"]
+FAST = ["t1_normalize", "t4_strip_prefix", "link_places", "link_terms", "c1_link", "j10_acronyms", "j11_validate", "a5_metrics", "l3_rerank_stub", "p2_found", "p2_regions", "p3_found", "j2_cascade", "r4_postprocess"]
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lexanchor.operators.spatial import VantagePointTree, angles, haversine_km, radius_pairs, unit_vectors
+from lexanchor.operators.spatial import VantagePointTree, angles, cells_of, containing_regions, haversine_km, place_points, radius_pairs, unit_vectors, valid_points
 from tests.conftest import rows
 
 SCHEMA = "geonameid string, lat double, lon double, a string, home boolean"
@@ -60,3 +60,60 @@ def test_tree_is_complete():
     q, m = VantagePointTree(xyz).within(xyz, 0.3)
     want = angles(xyz[:, None, :], xyz[None, :, :]) <= 0.3
     assert sorted(zip(q.tolist(), m.tolist())) == sorted(zip(*map(list, np.nonzero(want))))
+
+
+def test_crowded_cells_get_pivots_of_their_own(spark):
+    points = make(500, 7) + [(f"x{k}", 50.0 + k / 1e5, 3.0) for k in range(80)]
+    df = spark.createDataFrame([(i, x, y, "x", True) for i, x, y in points], SCHEMA)
+    usable = valid_points(df, "geonameid", "lat", "lon")
+    placed = place_points(usable, len(points), 2 * 5.0 / 6371.0, 20, 3, 40)
+    cells = {r.cell for r in placed.select("cell").collect()}
+    assert any("/" in c for c in cells) and any(c.endswith("!") for c in cells)
+    assert placed.where("home").count() == len(points)
+    got = rows(radius_pairs(df, "geonameid", "lat", "lon", 5.0, points_per_pivot=20, max_pivots=3, max_cell=40))
+    assert got == brute(points, 5.0)
+
+
+def test_nearest_pivot():
+    rng = np.random.default_rng(3)
+    pivots = unit_vectors(rng.uniform(-90, 90, 700), rng.uniform(-180, 180, 700))
+    asked = unit_vectors(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300))
+    every = angles(asked[:, None, :], pivots[None, :, :])
+    assert np.allclose(VantagePointTree(pivots).nearest(asked), every.min(axis=1))
+    row, cell, home = cells_of(VantagePointTree(pivots), asked, 0.05)
+    assert (cell[home] == every.argmin(axis=1)).all()
+    assert len(row) == (every <= every.min(axis=1)[:, None] + 0.05).sum()
+
+
+def in_polygon(x, y, xs, ys):
+    """Winding number, with the border tested by itself."""
+    n, wound = len(xs), 0
+    for k in range(n):
+        x1, y1, x2, y2 = xs[k], ys[k], xs[(k + 1) % n], ys[(k + 1) % n]
+        side = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+        if side == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return True
+        if y1 <= y < y2 and side > 0:
+            wound += 1
+        elif y2 <= y < y1 and side < 0:
+            wound -= 1
+    return wound != 0
+
+
+@pytest.mark.parametrize("settings", [{}, {"points_per_pivot": 20}, {"points_per_pivot": 10, "max_pivots": 9, "max_cell": 20}])
+def test_regions_equal_brute_force(spark, settings):
+    points = make(300, 5) + [("corner", 10.0, 20.0), ("edge", 10.5, 20.0)]
+    rng = random.Random(1)
+    shapes = [("square", [10.0, 10.0, 11.0, 11.0], [20.0, 21.0, 21.0, 20.0]), ("wide", [-80.0, -80.0, 85.0, 85.0], [-170.0, 175.0, 175.0, -170.0])]
+    for k in range(40):
+        _, la, lo = rng.choice(points)
+        star = [(rng.uniform(0.01, 1.5), 2 * math.pi * i / 7) for i in range(7)]
+        shapes.append((f"r{k}", [la + r * math.sin(t) for r, t in star], [lo + r * math.cos(t) for r, t in star]))
+    want = sorted((i, name) for i, x, y in points for name, ys, xs in shapes if in_polygon(y, x, xs, ys))
+    assert ("corner", "square") in want and ("edge", "square") in want and len(want) > 400
+    odd = [("short", [1.0, 2.0], [1.0, 2.0]), ("null", [1.0, None, 2.0], [1.0, 2.0, 3.0]), ("uneven", [1.0, 2.0, 3.0], [1.0, 2.0]), ("none", None, None), (None, [0.0, 0.0, 9.0], [0.0, 9.0, 0.0])]
+    regions = spark.createDataFrame([*shapes, *odd, shapes[0]], "region string, lats array<double>, lons array<double>")
+    df = spark.createDataFrame([(i, x, y, "x", True) for i, x, y in points + points[:5]], SCHEMA)
+    assert rows(containing_regions(df, "geonameid", "lat", "lon", regions, **settings)) == want
+    assert rows(containing_regions(df.limit(0), "geonameid", "lat", "lon", regions)) == []
+    assert rows(containing_regions(df, "geonameid", "lat", "lon", regions.limit(0))) == []
