@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexanchor.operators.nested import payload_record_triples, vocabulary_terms
+from lexanchor.operators.nested import SOURCE_SHAPE, nested_tables, payload_record_triples, table_record_triples, vocabulary_terms
 from lexanchor.operators.packed import explode_packed
 from lexanchor.operators.spatial import containing_regions, radius_pairs
 from lexanchor.plans.registry import Registry
@@ -95,7 +95,27 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (
+        ("mesh_records", payload_record_triples(table(spark, sf_dir, "mesh_records"), "rec_no", "fmt", "payload")),
+        ("descriptors", table_record_triples(table(spark, sf_dir, "descriptors"), "dui")),
+        ("supplementals", table_record_triples(table(spark, sf_dir, "supplementals"), "sui")),
+    )
+    out = None
+    for name, part in parts:
+        part = part.select(F.lit(name).alias("tbl"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @REGISTRY.add("p7_triples")
 def p7_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every path-value-ordinal triple of the source records."""
-    return payload_record_triples(table(spark, sf_dir, "mesh_records"), "rec_no", "fmt", "payload")
+    """Every path-value-ordinal triple of the three tables."""
+    return _triples(spark, sf_dir)
+
+
+@REGISTRY.add("p7_concepts")
+def p7_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked table of concepts of the source records, with the key of each and of its record."""
+    tables = nested_tables(payload_record_triples(table(spark, sf_dir, "mesh_records"), "rec_no", "fmt", "payload"), SOURCE_SHAPE.repeated)
+    return tables["/".join(SOURCE_SHAPE.repeated[0])]
