@@ -189,10 +189,20 @@ def is_acronym(text: ColumnOrName) -> Column:
 ARTIFACTS = {
     "literal_escape": lambda t: t.rlike(ESCAPES),
     "html_entity": lambda t: t.rlike(r"&(?:[a-zA-Z]+|#\d+);"),
-    "control_char": lambda t: t.rlike(r"[\x00-\x1f\x7f]"),
-    "nbsp_or_zerowidth": lambda t: t.rlike(r"[\u00a0\u200b\u200c\u200d\ufeff]"),
+    "control_char": lambda t: t.rlike(r"[\x00-\x1f]"),
+    "nbsp_or_zerowidth": lambda t: t.rlike(r"[\u00a0\u202f\u200b\ufeff\u200e\u200f]"),
     "double_space": lambda t: F.contains(t, F.lit("  ")),
-    "long_dash": lambda t: t.rlike("[–—]"),
+    "long_dash": lambda t: t.rlike(r"[\u2010\u2012\u2013\u2014\u2015]"),
     "edge_punct": lambda t: t.rlike(r"^[^\p{L}\p{N}]|[^\p{L}\p{N}]\z"),
     "case_glue": lambda t: t.rlike(r"\p{Ll}\p{Lu}"),
 }
+
+# The checks that a report is made of.
+HIGH_SIGNAL = ("literal_escape", "html_entity", "control_char", "nbsp_or_zerowidth")
+# P11, fixed values: what UTF-8 read as a single-byte encoding leaves of common signs.
+MOJIBAKE = ("Ã©", "Ã¨", "Ãª", "Ã ", "Ã§", "Â°", "Â«", "Â»", "â\x80\x99")
+
+
+def looks_garbled(text: ColumnOrName) -> Column:
+    """P11."""
+    return F.coalesce(_col(text).rlike("|".join(MOJIBAKE)), F.lit(False))

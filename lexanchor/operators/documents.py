@@ -75,25 +75,84 @@ def violations(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_idx", "ent_idx", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
+def _tested() -> Column:
+    """Whether the report counts a row, which no rule ended before its id's format was looked at."""
+    sane = F.col("pred_id").isNotNull() & F.col("pred_source").isNotNull() & F.col("pred_source").isin(*SOURCES)
+    return F.coalesce(sane & ((F.col("pred_source") == "") == (F.col("pred_id") == "")), F.lit(False))
+
+
+def validation_summary(pairs: DataFrame) -> DataFrame:
+    """Counts of tested rows by knowledge base, their share without a link, whether it's odd, and texts that look garbled."""
+    complete = F.col("pred_id").isNotNull() & F.col("pred_source").isNotNull()
+
+    def tested(source: str) -> Column:
+        return F.count_if(_tested() & (F.col("pred_source") == source))
+
+    counts = pairs.agg(
+        F.count_if(_tested()).alias("n"), tested("GeoNames").alias("n_geo"), tested("MeSH").alias("n_mesh"), tested("").alias("n_nil"),
+        F.count_if(complete & T.looks_garbled("pred_text")).alias("n_mojibake"),
+    )
+    rate = F.try_divide(100.0 * F.col("n_nil"), "n")
+    return counts.select("n", "n_geo", "n_mesh", "n_nil", F.round(rate, 3).alias("nil_rate"), ((rate < 0.5) | (rate > 15)).alias("warn"), "n_mojibake")
+
+
+def unknown_ids(pairs: DataFrame, places: DataFrame, descriptors: DataFrame, supplementals: DataFrame) -> DataFrame:
+    """``pairs`` with ``rule`` and ``id`` for every well-formed predicted id that the knowledge base (each an ``id`` column) lacks.
+
+    S1 are place ids; S2 descriptors left of the colon and supplementals right of it, of which
+    only ids beginning with D there and with C here are looked up.
+    """
+    tested = pairs.where(_tested())
+    geo = tested.where((F.col("pred_source") == "GeoNames") & F.col("pred_id").rlike(T.GEO_ID)).select("*", F.lit("S1").alias("rule"), F.col("pred_id").alias("id"))
+    mesh = tested.where((F.col("pred_source") == "MeSH") & F.col("pred_id").rlike(T.MESH_ID))
+    left = mesh.select("*", F.lit("S2").alias("rule"), F.explode(T.descriptor_ids(F.trim("pred_id"))).alias("id")).withColumn("id", F.trim("id")).where("id like 'D%'")
+    right = mesh.select("*", F.lit("S2").alias("rule"), F.explode(T.supplemental_ids(F.trim("pred_id"))).alias("id")).withColumn("id", F.trim("id")).where("id like 'C%'")
+    out = None
+    for rows, known in ((geo, places), (left, descriptors), (right, supplementals)):
+        lost = rows.join(known.where("id is not null").select("id").distinct(), "id", "left_anti")
+        out = lost if out is None else out.unionByName(lost)
+    return out
+
+
+def partial_credit(gold: Column, predicted: Column) -> Column:
+    """1 for the same id; with the same descriptors the share of the gold's supplementals that are predicted, null if it has none; else 0."""
+    same = F.array_sort(F.array_distinct(T.descriptor_ids(gold))) == F.array_sort(F.array_distinct(T.descriptor_ids(predicted)))
+    wanted = F.array_distinct(T.supplemental_ids(gold))
+    share = F.try_divide(F.size(F.array_intersect(wanted, T.supplemental_ids(predicted))), F.size(wanted))
+    return F.when(gold == predicted, F.lit(1.0)).when(same, share).otherwise(F.lit(0.0))
+
+
 def linking_metrics(pairs: DataFrame) -> DataFrame:
-    """Gold, predicted and correct counts, precision, recall and F1 over all and by knowledge base."""
+    """Counts, precision, recall, F1, entity, strict, partial and concept accuracy and the ranking score, over all and by knowledge base.
+
+    Accuracies are those of gold links; an undefined one is null. The ranking score is the mean
+    of partial accuracy and F1.
+    """
     gold, predicted = F.col("gold_id") != "", F.col("pred_id") != ""
     right = gold & (F.col("gold_id") == F.col("pred_id"))
+    credit = F.when(gold, partial_credit(F.col("gold_id"), F.col("pred_id")))
+    refined = F.array_sort(F.array_distinct(T.supplemental_ids("gold_id")))
+    concepts = F.when(gold & (F.size(refined) > 0), (refined == F.array_sort(F.array_distinct(T.supplemental_ids("pred_id")))).cast("double"))
+    none, zero = F.lit(None).cast("double"), F.lit(0).cast("long")
     # a row counts for the gold's knowledge base as gold and for the prediction's as predicted
     base = pairs.select(
         F.explode(
             F.array(
-                F.struct(F.col("gold_source").alias("kb"), gold.cast("long").alias("g"), F.lit(0).cast("long").alias("p"), right.cast("long").alias("c")),
-                F.struct(F.col("pred_source").alias("kb"), F.lit(0).cast("long").alias("g"), predicted.cast("long").alias("p"), F.lit(0).cast("long").alias("c")),
+                F.struct(F.col("gold_source").alias("kb"), gold.cast("long").alias("g"), zero.alias("p"), right.cast("long").alias("c"), credit.alias("credit"), concepts.alias("concepts")),
+                F.struct(F.col("pred_source").alias("kb"), zero.alias("g"), predicted.cast("long").alias("p"), zero.alias("c"), none.alias("credit"), none.alias("concepts")),
             )
         ).alias("r")
     ).select("r.*").where("kb <> ''")
-    total = base.rollup("kb").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum("c").alias("n_correct"))
+    total = base.rollup("kb").agg(
+        F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum("c").alias("n_correct"), F.avg("credit").alias("credit"), F.avg("concepts").alias("concepts")
+    )
+    recall = F.try_divide(100.0 * F.col("n_correct"), "n_gold")
+    f1 = F.try_divide(200.0 * F.col("n_correct"), F.col("n_gold") + F.col("n_pred"))
     return total.select(
         F.coalesce("kb", F.lit("all")).alias("kb"), "n_gold", "n_pred", "n_correct",
-        F.round(F.try_divide(100.0 * F.col("n_correct"), "n_pred"), 2).alias("precision"),
-        F.round(F.try_divide(100.0 * F.col("n_correct"), "n_gold"), 2).alias("recall"),
-        F.round(F.try_divide(200.0 * F.col("n_correct"), F.col("n_gold") + F.col("n_pred")), 2).alias("f1"),
+        F.round(F.try_divide(100.0 * F.col("n_correct"), "n_pred"), 2).alias("precision"), F.round(recall, 2).alias("recall"), F.round(f1, 2).alias("f1"),
+        F.round(recall, 2).alias("entity_accuracy"), F.round(recall, 2).alias("strict_accuracy"), F.round(100.0 * F.col("credit"), 2).alias("partial_accuracy"),
+        F.round(100.0 * F.col("concepts"), 2).alias("concept_accuracy"), F.round((100.0 * F.col("credit") + f1) / 2, 2).alias("ranking"),
     )
 
 

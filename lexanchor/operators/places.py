@@ -42,6 +42,18 @@ def name_dimension(locations: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
+def alias_bag(locations: DataFrame, names: DataFrame) -> DataFrame:
+    """E1 with E2 added: ``(geonameid, key)`` of each place's own names, each once a place, and of every alias row as it is.
+
+    An alias that repeats a place's own name or another alias stays; only rows that were
+    delivered again, with the same ``name_id``, count once.
+    """
+    own = F.array_distinct(F.transform(F.array_compact(F.array("name", "asciiname")), lambda x: F.lower(F.trim(x))))
+    places = locations.select("geonameid", "name", "asciiname").distinct().select("geonameid", F.explode(own).alias("key")).distinct()
+    aliases = names.select("name_id", "geonameid", F.lower(F.trim("name_lower")).alias("key")).distinct().drop("name_id")
+    return places.unionByName(aliases).where("geonameid is not null and key is not null and key <> ''")
+
+
 def candidate_pool(keys: DataFrame, names: DataFrame, places: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Candidates of each key; all of the kept codes, then the most populous up to the pool's size.
 

@@ -34,6 +34,12 @@ def term_index(descriptors: DataFrame, supplementals: DataFrame) -> DataFrame:
     )
 
 
+def concept_map(descriptors: DataFrame, order: str) -> DataFrame:
+    """The descriptor of each concept; of several the one that comes last in the given order of records."""
+    rows = descriptors.where("dui is not null").select("dui", F.col(order).alias("_order"), F.posexplode("concepts.ui").alias("pos", "cui"))
+    return rows.where("cui is not null").groupBy("cui").agg(F.max_by("dui", F.struct("_order", "pos")).alias("dui"))
+
+
 def twin_index(terms: DataFrame) -> DataFrame:
     """Two keys per term, normal and unaccented, with the distinct ids of each key in first-seen order."""
     norm = T.normalize("term")

@@ -167,17 +167,35 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ids(x: str, part: int, sign: str) -> str:
+    return rf"list_sort(list_distinct(list_filter(regexp_split_to_array(split_part({x}, ':', {part}), '\s*{sign}\s*'), lambda t: trim(t) <> '')))"
+
+
+_SUPP = _ids("gold_id", 2, r"\|")
+METRICS = f"""b AS (SELECT gold_source AS kb, (gold_id <> '')::INT AS g, 0 AS p, (gold_id <> '' AND gold_id = pred_id)::INT AS c,
+      CASE WHEN gold_id = '' THEN NULL WHEN gold_id = pred_id THEN 1.0::DOUBLE WHEN {_ids('gold_id', 1, '&')} = {_ids('pred_id', 1, '&')}
+        THEN len(list_intersect({_SUPP}, {_ids('pred_id', 2, chr(92) + '|')}))::DOUBLE / nullif(len({_SUPP}), 0) ELSE 0.0::DOUBLE END AS credit,
+      CASE WHEN gold_id <> '' AND len({_SUPP}) > 0 THEN ({_SUPP} = {_ids('pred_id', 2, chr(92) + '|')})::INT::DOUBLE END AS concepts FROM scored WHERE gold_source <> ''
+    UNION ALL SELECT pred_source, 0, (pred_id <> '')::INT, 0, NULL, NULL FROM scored WHERE pred_source <> ''),
+  m AS (SELECT coalesce(kb, 'all') AS kb, sum(g)::BIGINT AS n_gold, sum(p)::BIGINT AS n_pred, sum(c)::BIGINT AS n_correct, 100.0::DOUBLE * sum(c) / nullif(sum(p), 0) AS pr,
+    100.0::DOUBLE * sum(c) / nullif(sum(g), 0) AS re, 200.0::DOUBLE * sum(c) / nullif(sum(g) + sum(p), 0) AS f, 100.0 * avg(credit) AS pa, 100.0 * avg(concepts) AS ca FROM b GROUP BY ROLLUP(kb))"""
+
+
 @REGISTRY.add(
     "a5_metrics",
-    f"""{LINK}, {SCORED}, b AS (SELECT gold_source AS kb, (gold_id <> '')::INT AS g, 0 AS p, (gold_id <> '' AND gold_id = pred_id)::INT AS c FROM scored WHERE gold_source <> ''
-      UNION ALL SELECT pred_source, 0, (pred_id <> '')::INT, 0 FROM scored WHERE pred_source <> '')
-    SELECT coalesce(kb, 'all') AS kb, sum(g)::BIGINT AS n_gold, sum(p)::BIGINT AS n_pred, sum(c)::BIGINT AS n_correct, round(100.0::DOUBLE * sum(c) / nullif(sum(p), 0), 2) AS precision,
-      round(100.0::DOUBLE * sum(c) / nullif(sum(g), 0), 2) AS recall, round(200.0::DOUBLE * sum(c) / nullif(sum(g) + sum(p), 0), 2) AS f1 FROM b GROUP BY ROLLUP(kb)""",
+    f"""{LINK}, {SCORED}, {METRICS} SELECT kb, n_gold, n_pred, n_correct, round(pr, 2) AS precision, round(re, 2) AS recall, round(f, 2) AS f1, round(re, 2) AS entity_accuracy,
+      round(re, 2) AS strict_accuracy, round(pa, 2) AS partial_accuracy, round(ca, 2) AS concept_accuracy, round((pa + f) / 2, 2) AS ranking FROM m""",
 )
 def a5_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.linking_metrics(scored(spark, sf_dir))
 
 
+@REGISTRY.add("a6_ranking", f"{LINK}, {SCORED}, {METRICS} SELECT round((pa + f) / 2, 2) AS ranking FROM m WHERE kb = 'all'")
+def a6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of partial accuracy and F1 over all."""
+    return D.linking_metrics(scored(spark, sf_dir)).where("kb = 'all'").select("ranking")
+
+
 @REGISTRY.add(
     "c10_errors",
     f"""{LINK}, {SCORED} SELECT mention_id, CASE WHEN gold_id <> '' AND pred_id = '' THEN 'MISSED' WHEN gold_id = '' AND pred_id <> '' THEN 'SPURIOUS' ELSE 'WRONG_ID' END AS error FROM scored WHERE gold_id <> pred_id""",
@@ -283,36 +301,35 @@ def v14_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.violations(faulty(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+_IDS = "list_filter(list_transform(regexp_split_to_array(split_part(trim(pred_id), ':', {part}), '\\s*{sign}\\s*'), lambda t: trim(t)), lambda t: starts_with(t, '{first}'))"
+_MESH_SQL = r"regexp_matches(pred_id, '^[DC]\d{6,9}(?:\s*&\s*[DC]\d{6,9})*(?:\s*:\s*C\d{6,9}(?:\s*\|\s*C\d{6,9})*)?$')"
+
+
 @REGISTRY.add(
     "v11_unknown_ids",
-    f"""WITH {S.PLACES}, known AS (SELECT geonameid AS id FROM places UNION SELECT dui FROM descriptors UNION SELECT sui FROM supplementals UNION SELECT ref_id FROM refnames),
-    t AS (SELECT DISTINCT mention_id, unnest(regexp_extract_all(id_kb, '[DC]?\\d{{6,12}}')) AS id FROM entities WHERE id_kb <> '')
-    SELECT mention_id, id FROM t WHERE id NOT IN (SELECT id FROM known WHERE id IS NOT NULL)""",
+    f"""WITH {FAULTY}, ok AS (SELECT DISTINCT mention_id, pred_id, pred_source FROM faulty WHERE {_TESTED}),
+    t AS (SELECT mention_id, 'S1' AS rule, pred_id AS id FROM ok WHERE pred_source = 'GeoNames' AND regexp_matches(pred_id, '^\\d{{1,12}}$') AND pred_id NOT IN (SELECT geonameid FROM locations WHERE geonameid IS NOT NULL)
+      UNION ALL SELECT mention_id, 'S2', id FROM (SELECT mention_id, unnest({_IDS.format(part=1, sign='&', first='D')}) AS id FROM ok WHERE pred_source = 'MeSH' AND {_MESH_SQL}) WHERE id NOT IN (SELECT dui FROM descriptors WHERE dui IS NOT NULL)
+      UNION ALL SELECT mention_id, 'S2', id FROM (SELECT mention_id, unnest({_IDS.format(part=2, sign=chr(92) + '|', first='C')}) AS id FROM ok WHERE pred_source = 'MeSH' AND {_MESH_SQL}) WHERE id NOT IN (SELECT sui FROM supplementals WHERE sui IS NOT NULL))
+    SELECT DISTINCT mention_id, rule, id FROM t""",
 )
 def v11_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of mentions that no knowledge base has."""
-    ids = mentions(spark, sf_dir).where("id_kb <> ''").select("mention_id", F.explode(F.regexp_extract_all("id_kb", F.lit(r"[DC]?\d{6,12}"), F.lit(0))).alias("id")).distinct()
-    known = L.places(spark, sf_dir).select(F.col("geonameid").alias("id"))
-    for name, column in (("descriptors", "dui"), ("supplementals", "sui"), ("refnames", "ref_id")):
-        known = known.unionByName(table(spark, sf_dir, name).select(F.col(column).alias("id")))
-    return ids.join(known.where("id is not null").distinct(), "id", "left_anti").select("mention_id", "id")
+    """Well-formed predicted ids that no knowledge base has."""
+    places = table(spark, sf_dir, "locations").select(F.col("geonameid").alias("id"))
+    descriptors = table(spark, sf_dir, "descriptors").select(F.col("dui").alias("id"))
+    supplementals = table(spark, sf_dir, "supplementals").select(F.col("sui").alias("id"))
+    return D.unknown_ids(faulty(spark, sf_dir), places, descriptors, supplementals).select("mention_id", "rule", "id").distinct()
 
 
 @REGISTRY.add(
     "v12_nil_rate",
-    """SELECT count(*) AS n, count(*) FILTER (source = '') AS n_nil, count(*) FILTER (source = 'GeoNames') AS n_geo, count(*) FILTER (source = 'MeSH') AS n_mesh,
-      round(100.0::DOUBLE * count(*) FILTER (source = '') / count(*), 3) AS nil_rate, (100.0 * count(*) FILTER (source = '') / count(*)) NOT BETWEEN 0.5 AND 15 AS warn,
-      count(*) FILTER (regexp_matches(text, 'Ã|Â|â€')) AS n_mojibake FROM (SELECT DISTINCT * FROM entities) WHERE source IS NOT NULL""",
+    f"""WITH {FAULTY}, t AS (SELECT count(*) AS n, count(*) FILTER (pred_source = 'GeoNames') AS n_geo, count(*) FILTER (pred_source = 'MeSH') AS n_mesh, count(*) FILTER (pred_source = '') AS n_nil FROM faulty WHERE {_TESTED})
+    SELECT n, n_geo, n_mesh, n_nil, round(100.0::DOUBLE * n_nil / n, 3) AS nil_rate, n_nil < 0.005 * n OR n_nil > 0.15 * n AS warn,
+      (SELECT count(*) FROM faulty WHERE pred_id IS NOT NULL AND pred_source IS NOT NULL AND ({" OR ".join(f"contains(pred_text, {hint})" for hint in ("'Ã©'", "'Ã¨'", "'Ãª'", "'Ã '", "'Ã§'", "'Â°'", "'Â«'", "'Â»'", "concat('â', chr(128), chr(153))"))})) AS n_mojibake FROM t""",
 )
 def v12_nil_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4, M3, V12, V13."""
-    rows = mentions(spark, sf_dir).where("source is not null")
-    rate = F.try_divide(100.0 * F.col("n_nil"), "n")
-    counts = rows.agg(
-        F.count("*").alias("n"), F.count_if(F.col("source") == "").alias("n_nil"), F.count_if(F.col("source") == "GeoNames").alias("n_geo"),
-        F.count_if(F.col("source") == "MeSH").alias("n_mesh"), F.count_if(F.col("text").rlike("Ã|Â|â€")).alias("n_mojibake"),
-    )
-    return counts.select("n", "n_nil", "n_geo", "n_mesh", F.round(rate, 3).alias("nil_rate"), (~rate.between(0.5, 15)).alias("warn"), "n_mojibake")
+    return D.validation_summary(faulty(spark, sf_dir))
 
 
 @REGISTRY.add(

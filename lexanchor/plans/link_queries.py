@@ -43,9 +43,16 @@ def e1_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@REGISTRY.add("e2_alias_union", f"WITH {S.NAMES} SELECT key, count(*) AS n_places FROM names GROUP BY key")
+@REGISTRY.add(
+    "e2_alias_union",
+    """SELECT key, count(*) AS n_rows FROM (
+      SELECT DISTINCT geonameid, lower(trim(k)) AS key FROM (SELECT geonameid, unnest([name, asciiname]) AS k FROM locations)
+      UNION ALL SELECT geonameid, key FROM (SELECT DISTINCT name_id, geonameid, lower(trim(name_lower)) AS key FROM place_names))
+    WHERE geonameid IS NOT NULL AND key IS NOT NULL AND key <> '' GROUP BY key""",
+)
 def e2_alias_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n_places"))
+    """The bag of names and aliases, counted by key."""
+    return P.alias_bag(table(spark, sf_dir, "locations"), table(spark, sf_dir, "place_names")).groupBy("key").agg(F.count("*").alias("n_rows"))
 
 
 INDEX_KEY = f"""translate(nfc_normalize(lower(trim(term))), '{T.CURLY_SINGLE}{T.CURLY_DOUBLE}', '''''""')"""
@@ -73,11 +80,12 @@ def e3_term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "e4_concept_map",
-    """SELECT cui, max(dui) AS dui FROM (SELECT dui, unnest(concepts).ui AS cui FROM descriptors WHERE dui IS NOT NULL) WHERE cui IS NOT NULL GROUP BY cui""",
+    """SELECT cui, last(dui ORDER BY dui, pos) AS dui FROM (
+      SELECT dui, unnest(concepts).ui AS cui, generate_subscripts(concepts, 1) AS pos FROM descriptors WHERE dui IS NOT NULL) WHERE cui IS NOT NULL GROUP BY cui""",
 )
 def e4_concept_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "descriptors").where("dui is not null").select("dui", F.explode("concepts.ui").alias("cui"))
-    return rows.where("cui is not null").groupBy("cui").agg(F.max("dui").alias("dui"))
+    """The last descriptor with the concept wins; the vocabulary's records are in the order of their ids."""
+    return V.concept_map(table(spark, sf_dir, "descriptors"), "dui")
 
 
 @REGISTRY.add(

@@ -149,10 +149,10 @@ def pred7_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARTIFACT_SQL = {
     "literal_escape": r"regexp_matches(text, '\\[nrtf]')",
     "html_entity": r"regexp_matches(text, '&(?:[a-zA-Z]+|#\d+);')",
-    "control_char": r"regexp_matches(text, '[\x00-\x1f\x7f]')",
-    "nbsp_or_zerowidth": r"regexp_matches(text, '[\x{00A0}\x{200B}\x{200C}\x{200D}\x{FEFF}]')",
+    "control_char": r"regexp_matches(text, '[\x00-\x1f]')",
+    "nbsp_or_zerowidth": r"regexp_matches(text, '[\x{00A0}\x{202F}\x{200B}\x{FEFF}\x{200E}\x{200F}]')",
     "double_space": "contains(text, '  ')",
-    "long_dash": "regexp_matches(text, '[–—]')",
+    "long_dash": r"regexp_matches(text, '[\x{2010}\x{2012}\x{2013}\x{2014}\x{2015}]')",
     "edge_punct": r"regexp_matches(text, '^[^\p{L}\p{N}]|[^\p{L}\p{N}]$')",
     "case_glue": r"regexp_matches(text, '\p{Ll}\p{Lu}')",
 }
@@ -181,12 +181,13 @@ def a2_artifact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.add(
     "a3_high_signal",
     f"""WITH f AS ({FLAGS_SQL}), l AS ({LONG_SQL}), r AS (SELECT artifact, text, row_number() OVER (PARTITION BY artifact ORDER BY text) AS k FROM l)
-    SELECT artifact, count(*) AS n_texts, string_agg(text, ' | ' ORDER BY text) FILTER (k <= 3) AS examples FROM r GROUP BY artifact""",
+    SELECT artifact, count(*) AS n_texts, string_agg(text, ' | ' ORDER BY text) FILTER (k <= 3) AS examples FROM r
+    WHERE artifact IN ('literal_escape', 'html_entity', 'control_char', 'nbsp_or_zerowidth') GROUP BY artifact""",
 )
 def a3_high_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3: the count of each artifact and its first three texts, which is the report's feature."""
+    """A3: the count of each high-signal artifact and its first three texts, which is the report's feature."""
     from lexanchor.operators.cascade import ranked
 
-    rows = artifact_rows(spark, sf_dir)
+    rows = artifact_rows(spark, sf_dir).where(F.col("artifact").isin(*T.HIGH_SIGNAL))
     first = ranked(rows, ["artifact"], [F.col("text")]).where("rank <= 3").groupBy("artifact").agg(F.array_join(F.array_sort(F.collect_list("text")), " | ").alias("examples"))
     return rows.groupBy("artifact").agg(F.count("*").alias("n_texts")).join(first, "artifact")

@@ -87,3 +87,25 @@ def test_artifacts(spark):
     names = {n for n, f in T.ARTIFACTS.items() if value(spark, f(F.col("t")), t="a\\nb &amp; c d  e –fG.")}
     assert names == set(T.ARTIFACTS) - {"control_char"}
     assert not [n for n, f in T.ARTIFACTS.items() if value(spark, f(F.col("t")), t="Île-de-France")]
+
+
+@pytest.mark.parametrize(
+    ("name", "yes", "no"),
+    [
+        ("control_char", [chr(c) for c in range(32)], ["\x7f", " ", "a"]),
+        ("nbsp_or_zerowidth", [" ", " ", "​", "﻿", "‎", "‏"], ["‌", "‍", " ", " "]),
+        ("long_dash", ["‐", "‒", "–", "—", "―"], ["-", "‑", "−"]),
+        ("literal_escape", ["\\n", "\\r", "\\t", "\\f"], ["\\b", "n", "\n"]),
+        ("html_entity", ["&amp;", "&#39;"], ["&amp", "& ;", "&#x27;"]),
+    ],
+)
+def test_characters_of_each_check(spark, name, yes, no):
+    rows_ = [(f"a{c}b", True) for c in yes] + [(f"a{c}b", False) for c in no]
+    df = spark.createDataFrame(rows_, "text string, want boolean")
+    assert [r[0] for r in df.where(T.ARTIFACTS[name](F.col("text")) != F.col("want")).collect()] == []
+
+
+def test_signs_of_a_wrong_decoding(spark):
+    yes = ["Ã©", "Ã¨", "Ãª", "Ã b", "Ã§", "Â°", "Â«", "Â»", "â\x80\x99"]
+    df = spark.createDataFrame([(f"x{t}", True) for t in yes] + [(t, False) for t in ("Ã", "Âge", "â€™", "été", None)], "text string, want boolean")
+    assert df.where(T.looks_garbled("text") != F.col("want")).count() == 0
