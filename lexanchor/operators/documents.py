@@ -75,6 +75,27 @@ def violations(pairs: DataFrame) -> DataFrame:
     return pairs.select("doc_idx", "ent_idx", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
 
 
+def compared(corpus: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V3, V4: ``(doc_idx, ent_idx, rule)`` of documents that differ, and the pairs of mentions of the others.
+
+    Both have ``(doc_idx, text, entities)``. A document whose mentions differ in number isn't
+    looked into; a missing text counts as empty, missing mentions as none.
+    """
+    g = corpus.select("doc_idx", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("entities", F.array()).alias("g"))
+    p = predicted.select("doc_idx", F.coalesce("text", F.lit("")).alias("pred"), F.coalesce("entities", F.array()).alias("p"))
+    both = g.join(p, "doc_idx")
+    uneven = F.size("g") != F.size("p")
+    rules = F.array_compact(F.array(F.when(F.col("text") != F.col("pred"), "H3"), F.when(uneven, "H4")))
+    wrong = both.select("doc_idx", F.lit(None).cast("int").alias("ent_idx"), F.explode(rules).alias("rule"))
+    flat = both.where(~uneven).select("doc_idx", F.posexplode(F.arrays_zip("g", "p")).alias("ent_idx", "e"))
+    names = {"text": "text", "label": "label", "start": "start_pos", "end": "end_pos"}
+    pairs = flat.select(
+        "doc_idx", "ent_idx", *[F.col(f"e.g.{k}").alias(v) for k, v in names.items()], *[F.col(f"e.p.{k}").alias(f"pred_{v}") for k, v in names.items()],
+        F.col("e.p.id_kb").alias("pred_id"), F.col("e.p.source").alias("pred_source"),
+    )
+    return wrong, pairs
+
+
 def _tested() -> Column:
     """Whether the report counts a row, which no rule ended before its id's format was looked at."""
     sane = F.col("pred_id").isNotNull() & F.col("pred_source").isNotNull() & F.col("pred_source").isin(*SOURCES)

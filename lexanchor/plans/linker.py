@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from lexanchor.operators import documents as D
 from lexanchor.operators import places as P
 from lexanchor.operators import rerank as R
 from lexanchor.operators import vocabulary as V
-from lexanchor.session import cut_lineage
+from lexanchor.session import cut_lineage, exists
 
 #: Small maps that a user may supply, with their columns.
 MAPS = {
@@ -71,7 +70,7 @@ class KnowledgeBase:
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> KnowledgeBase:
         def have(name: str) -> bool:
-            return Path(folder, name).exists() or "://" in folder
+            return exists(spark, f"{folder}/{name}")
 
         maps = {m: spark.read.parquet(f"{folder}/map_{m}") for m in MAPS if have(f"map_{m}")}
         other = spark.read.parquet(f"{folder}/bilingual") if have("bilingual") else None

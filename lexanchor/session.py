@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", app: str = "lexanchor", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the frames that need them
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -50,6 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt over as many partitions as a shuffle has, for costly Python stages.
 
@@ -62,14 +69,16 @@ def spread(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that it survives lost executors.
 
-    The folder comes from the session's ``spark.checkpoint.dir``. Only where the session
-    names none (tests on one machine) is a temporary folder set.
+    The folder comes from the session's ``spark.checkpoint.dir``. Only a session on one machine
+    may name none, and gets a temporary folder; on a cluster that raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_KEY, None)
         if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="lexanchor-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)

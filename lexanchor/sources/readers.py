@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 import shutil
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexanchor.functions import text as T
+from lexanchor.session import exists
 
 PLACES = "geonameid string, name string, asciiname string, alternates string, country_code string, feature_class string, feature_code string, population long, admin1 string, latitude double, longitude double"
 
@@ -106,13 +111,66 @@ def bilingual_terms(records: DataFrame) -> DataFrame:
     return records.select("id", F.posexplode(every).alias("ord", "term")).where("term is not null and term <> ''")
 
 
-CORPUS = "array<struct<text:string,entities:array<struct<text:string,label:string,start:string,end:string,id_kb:string,source:string>>>>"
+MENTION = "struct<text:string,label:string,start:string,end:string,id_kb:string,source:string>"
+
+
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The documents of JSON array files, each with its text as it stands; what can't be read is the last, broken one."""
+    read = json.JSONDecoder().raw_decode
+    for pdf in batches:
+        for file, whole in zip(pdf["file"], pdf["value"], strict=True):
+            at, found = whole.index("[") + 1, []
+            while True:
+                at = _GAP.match(whole, at).end()
+                if whole[at : at + 1] == "]" and not whole[at + 1 :].strip():
+                    break
+                try:
+                    _, end = read(whole, at)
+                    found.append(whole[at:end])
+                    at = _GAP.match(whole, end).end()
+                    if whole[at : at + 1] == ",":
+                        at += 1
+                        if whole[at:].lstrip()[:1] != "]":
+                            continue
+                    elif whole[at : at + 1] == "]" and not whole[at + 1 :].strip():
+                        break
+                except ValueError:
+                    pass
+                found.append("[" + whole[at : at + 200])
+                break
+            for start in range(0, len(found), 500):
+                yield pd.DataFrame({"file": file, "start": 0, "raw": found[start : start + 500]})
+
+
+_GAP = re.compile(r"[ \t\r\n]*")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of documents with their position; spans as a number or a list, told apart later."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", CORPUS).alias("docs"))
-    return whole.select(F.posexplode("docs").alias("doc_idx", "d")).select(F.col("doc_idx").cast("long"), "d.text", "d.entities")
+    """Documents ``(doc_idx, raw, text, entities)`` in their order, ``raw`` being the document as it stands, unknown keys included.
+
+    Files with one document a line are read in parallel; a file that is a JSON array is cut into
+    its documents by one task. Spans are numbers or lists, kept as their JSON. A document that
+    isn't JSON has null text and entities.
+    """
+    lines = spark.read.text(path)
+    first = lines.where("trim(value) <> ''").head(1)
+    if first and first[0][0].lstrip()[:1] == "[":
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        rows = whole.where("trim(value) <> ''").mapInPandas(_documents, "file string, start long, raw string")
+    else:
+        rows = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("raw")).where("trim(raw) <> ''")
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    # files and their blocks are counted, so that documents are numbered without one task that sees all
+    blocks = rows.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("_at").alias("least")).orderBy("file", "start").collect()
+    offsets, total = [], 0
+    for r in blocks:
+        offsets.append((r["file"], r["start"], total - r["least"]))
+        total += r["n"]
+    known = spark.createDataFrame(offsets, "file string, start long, offset long")
+    numbered = rows.join(F.broadcast(known), ["file", "start"]).select((F.col("_at") + F.col("offset")).alias("doc_idx"), "raw")
+    doc = F.from_json("raw", "struct<text:string,entities:array<string>>")
+    mentions = F.transform("d.entities", lambda e: F.from_json(e, MENTION))
+    return numbered.withColumn("d", doc).select("doc_idx", "raw", F.col("d.text").alias("text"), mentions.alias("entities"))
 
 
 def corpus_entities(corpus: DataFrame) -> DataFrame:
@@ -126,7 +184,7 @@ def corpus_entities(corpus: DataFrame) -> DataFrame:
 def read_exonyms(spark: SparkSession, path: str, enabled: bool = False) -> DataFrame:
     """A frozen map from mention to ranked ids; empty unless enabled and present."""
     empty = spark.createDataFrame([], "key string, ord int, id string")
-    if not enabled or not Path(path).exists():
+    if not enabled or not exists(spark, path):
         return empty
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
     return whole.select(F.explode("m").alias("key", "ids")).select("key", F.posexplode("ids").alias("ord", "id"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,22 +24,58 @@ def write_dimension(df: DataFrame, path: str, sort_by: str | None = None, files:
     df.write.mode("overwrite").parquet(path)
 
 
+def _span(value: str | None):
+    """A span as it stood: a number or a list."""
+    try:
+        return json.loads(value) if value else value
+    except ValueError:
+        return value
+
+
+def _rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for doc in pdf["doc"]:
+            found = [dict(e.asDict() if hasattr(e, "asDict") else e) for e in (doc["entities"] if doc["entities"] is not None else [])]
+            raw = json.loads(doc["raw"]) if doc["raw"] else {"text": doc["text"]}
+            own = raw.get("entities") or []
+            if len(own) != len(found):
+                own = [{k: _span(v) if k in ("start", "end") else v for k, v in e.items() if k in ("text", "label", "start", "end")} for e in found]
+            raw["entities"] = [{**e, "id_kb": n["id_kb"] or "", "source": n["source"] or ""} for e, n in zip(own, found, strict=True)]
+            out.append(json.dumps(raw, ensure_ascii=False))
+        yield pd.DataFrame({"value": out})
+
+
 def write_predictions(documents: DataFrame, folder: str) -> None:
-    """One JSON object a line in document order; ranges of documents go to successive files."""
-    fields = [c for c in documents.columns if c != "doc_idx"]
-    rows = documents.repartitionByRange("doc_idx").sortWithinPartitions("doc_idx")
-    rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(folder)
+    """One JSON object a line in document order; ranges of documents go to successive files.
 
+    Documents and mentions keep all keys that they came with; of mentions, id and source are put.
+    """
+    raw = F.col("raw") if "raw" in documents.columns else F.lit(None).cast("string")
+    rows = documents.repartitionByRange("doc_idx").sortWithinPartitions("doc_idx").select(F.struct(raw.alias("raw"), "text", "entities").alias("doc"))
+    rows.mapInPandas(_rendered, "value string").write.mode("overwrite").text(folder)
 
-def merge_predictions(folder: str, path: str) -> int:
-    """The lines of a folder as one JSON array file, streamed part by part; returns the number of documents."""
+
+def merge_predictions(spark: SparkSession, folder: str, path: str) -> int:
+    """The lines of a folder as one JSON array file, indented, streamed document by document; returns their number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.setWriteChecksum(False)  # the file may be edited by hand
+    out = spark._jvm.java.io.OutputStreamWriter(system.create(target, True), "UTF-8")
+    system.setWriteChecksum(True)
+    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     n = 0
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for part in sorted(Path(folder).glob("part-*")):
-            with part.open(encoding="utf-8") as lines:
-                for line in lines:
-                    out.write((",\n" if n else "\n") + json.dumps(json.loads(line), ensure_ascii=False, indent=2))
-                    n += 1
-        out.write("\n]\n")
+    out.write("[")
+    for row in lines.orderBy("file", "at").toLocalIterator():
+        text = json.dumps(json.loads(row["value"]), ensure_ascii=False, indent=2)
+        out.write((",\n" if n else "\n") + "\n".join("  " + x for x in text.split("\n")))
+        n += 1
+    out.write("\n]\n" if n else "]\n")
+    out.close()
     return n
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

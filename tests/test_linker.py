@@ -73,11 +73,13 @@ def test_documents_and_command_line(spark, tmp_path):
     }
     folder = str(tmp_path / "kb")
     knowledge(spark).write(folder)
-    assert main(["predict", str(source), str(tmp_path / "out"), "--kb", folder]) == 0
-    from lexanchor.sources.writers import merge_predictions
-
     predicted = str(tmp_path / "p.json")
-    assert merge_predictions(str(tmp_path / "out"), predicted) == 2
+    assert main(["predict", str(source), predicted, "--kb", folder]) == 0
+    assert not (tmp_path / "p.json.parts").exists()
+    written = json.loads((tmp_path / "p.json").read_text())
+    assert [{k: v for k, v in e.items() if k not in ("id_kb", "source")} for d in written for e in d["entities"]] == [e for d in docs for e in d["entities"]]
+    assert main(["predict", str(source), str(tmp_path / "lines"), "--kb", folder]) == 0
+    assert main(["validate", predicted, str(tmp_path / "lines")]) == 1  # ids too short, as below
     assert main(["validate", str(source), predicted]) == 1  # the fixture's ids are too short for the grammar
     (tmp_path / "p.json").write_text((tmp_path / "p.json").read_text().replace('"D1"', '"D000001"'))
     assert main(["validate", str(source), predicted]) == 0
@@ -115,6 +117,23 @@ def test_reranking(spark):
         EntityLinker(base, config)
 
 
+def answer(text, n):
+    return "0"
+
+
+def test_command_line_with_a_model_and_memory(spark, tmp_path, capsys):
+    folder = str(tmp_path / "kb")
+    knowledge(spark).write(folder)
+    source = tmp_path / "c.json"
+    source.write_text(json.dumps([{"text": "Aix et Aix", "entities": [{"text": "Aix", "label": "LOCATION", "start": [0], "end": [3], "id_kb": "2", "source": "GeoNames"}]}]))
+    with pytest.raises(SystemExit):
+        main(["predict", str(source), str(tmp_path / "p.json"), "--kb", folder, "--llm-reranker"])
+    model = ["--llm-reranker", "--llm-lang", "fr", "--llm-model", "tests.test_linker:answer"]
+    assert main(["predict", str(source), str(tmp_path / "p.json"), "--kb", folder, *model]) == 0
+    assert "1 entities, 1 linked, 0 NIL" in capsys.readouterr().out
+    assert main(["evaluate", str(source), "--kb", folder, "--no-memory", *model]) == 0
+
+
 def test_reranking_of_documents_uses_the_window(spark, tmp_path):
     source = tmp_path / "c.json"
     source.write_text(json.dumps([{"text": "aucun ...... Aix, numéro 0", "entities": [{"text": "Aix", "label": "LOCATION", "start": 13, "end": 16}]}]))

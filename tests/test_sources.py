@@ -59,7 +59,7 @@ def test_corpus_round_trip(spark, tmp_path):
     ents = R.corpus_entities(corpus)
     assert rows(ents.select("doc_idx", "ent_idx", "start_pos", "end_pos", "id_kb")) == [(0, 0, 6, 9, "1"), (1, 0, 0, 1, None)]
     W.write_predictions(corpus, str(tmp_path / "out"))
-    assert W.merge_predictions(str(tmp_path / "out"), str(tmp_path / "all.json")) == 3
+    assert W.merge_predictions(spark, str(tmp_path / "out"), str(tmp_path / "all.json")) == 3
     back = json.loads((tmp_path / "all.json").read_text())
     assert [d["text"] for d in back] == ["Été à Aix", "x", "none"] and "Été" in (tmp_path / "all.json").read_text()
 
