@@ -206,3 +206,43 @@ MOJIBAKE = ("Ã©", "Ã¨", "Ãª", "Ã ", "Ã§", "Â°", "Â«", "Â»", "â\x
 def looks_garbled(text: ColumnOrName) -> Column:
     """P11."""
     return F.coalesce(_col(text).rlike("|".join(MOJIBAKE)), F.lit(False))
+
+
+def span_list(span: ColumnOrName) -> Column:
+    """A span written as a number or a list of numbers, as a list of numbers."""
+    return F.transform(F.regexp_extract_all(_col(span), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+
+
+def spans(start: ColumnOrName, end: ColumnOrName) -> Column:
+    """Starts with their ends, cut to the shorter list."""
+    s, e = span_list(start), span_list(end)
+    n = F.least(F.size(s), F.size(e))
+    return F.zip_with(F.slice(s, F.lit(1), n), F.slice(e, F.lit(1), n), lambda a, b: F.struct(a.alias("s"), b.alias("e")))
+
+
+def cut_points(text: ColumnOrName, found: ColumnOrName) -> Column:
+    """Where a text is cut: its ends and all distinct ends of spans ``(s, e)``, sorted."""
+    text, found = _col(text), _col(found)
+    ends = F.array(F.lit(0), F.length(text))
+    return F.array_sort(F.array_distinct(F.flatten(F.array(ends, F.transform(found, lambda x: x["s"]), F.transform(found, lambda x: x["e"])))))
+
+
+def escape_html(text: ColumnOrName) -> Column:
+    out = _col(text)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def highlight(text: ColumnOrName, found: ColumnOrName) -> Column:
+    """The text as HTML, cut at the ends of spans, with every piece inside one marked."""
+    text, found = _col(text), _col(found)
+    cuts = cut_points(text, found)
+    pieces = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def piece(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        chunk = escape_html(F.substring(text, a + 1, F.greatest(b - a, F.lit(0))))
+        return F.when(F.exists(found, lambda y: (y["s"] <= a) & (b <= y["e"])), F.concat(F.lit("<mark>"), chunk, F.lit("</mark>"))).otherwise(chunk)
+
+    return F.array_join(F.transform(pieces, piece), "")

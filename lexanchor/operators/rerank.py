@@ -29,6 +29,39 @@ CODE_NAMES = {
 }
 
 
+CODE_NAMES_FR = {
+    "PCLI": "pays", "PCLD": "territoire dépendant", "PCLF": "État librement associé", "PPLC": "capitale",
+    "PPLA": "siège administratif", "PPLA2": "siège admin. niveau 2", "PPLA3": "siège admin. niveau 3",
+    "PPLA4": "siège admin. niveau 4", "PPL": "localité", "PPLX": "quartier / partie de ville", "ADM1": "région / état",
+    "ADM2": "département / comté", "ADM3": "arrondissement", "ADM4": "commune", "RGN": "région", "ISL": "île",
+    "ISLS": "îles", "LK": "lac", "STM": "rivière", "MTS": "montagnes", "MT": "montagne", "PPLL": "lieu peuplé",
+    "FRM": "exploitation agricole", "RSTN": "gare ferroviaire",
+}
+# Names of the vocabulary's categories in prompts.
+CATEGORY_NAMES = {
+    "en": {
+        "a": "Anatomy", "b": "Organisms", "c": "Diseases", "d": "Chemicals and Drugs", "e": "Techniques and Equipment",
+        "f": "Psychiatry and Psychology", "g": "Biological Sciences", "h": "Physical Sciences", "i": "Anthropology",
+        "j": "Technology and Food", "k": "Humanities", "l": "Information Science", "m": "Persons", "n": "Health Care",
+        "v": "Publication Type", "z": "Geography",
+    },
+    "fr": {
+        "a": "Anatomie", "b": "Organismes", "c": "Maladies", "d": "Substances chimiques et médicaments",
+        "e": "Techniques et équipements", "f": "Psychiatrie et psychologie", "g": "Sciences biologiques",
+        "h": "Sciences physiques", "i": "Anthropologie, éducation, sociologie", "j": "Technologie, industrie, agriculture",
+        "k": "Sciences humaines", "l": "Information", "m": "Personnes", "n": "Soins de santé",
+        "v": "Caractéristiques de publication", "z": "Localisations géographiques",
+    },
+}
+#: What a model is told about choosing, by kind of mention and language.
+RULES = {
+    ("place", "en"): "\nThe country or region that the context speaks of decides; population only between candidates that fit it. A well-known city goes before the division around it; of a French town that is listed both as a populated place and as a municipality, take the municipality unless the context says otherwise.",
+    ("place", "fr"): "\nLe pays ou la région dont parle le contexte décide ; la population ne départage que les candidats qui y conviennent. Une ville connue passe avant la division qui l'entoure ; d'une localité française présente aussi comme commune, prends la commune sauf indication contraire.",
+    ("term", "en"): "\nIf the context names a strain or serotype, take the candidate of that strain; if it names an organ or site, the candidate of that site; otherwise the general one.",
+    ("term", "fr"): "\nSi le contexte nomme une souche ou un sérotype, prends le candidat de cette souche ; s'il nomme un organe ou un site, celui de ce site ; sinon le candidat général.",
+}
+
+
 @dataclass(frozen=True)
 class RerankConfig:
     """Settings of the call; nothing is called while ``enabled`` is false."""
@@ -42,30 +75,45 @@ class RerankConfig:
     votes: int = 1
 
 
-def code_name(code: Column) -> Column:
-    """A code without a name stands for itself."""
-    names = F.create_map(*[F.lit(x) for pair in CODE_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(names, F.coalesce(code, F.lit(""))), code, F.lit(""))
+def _named(key: Column, names: dict[str, str]) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.coalesce(key, F.lit(""))), key, F.lit(""))
+
+
+def code_name(code: Column, language: str = "en") -> Column:
+    """A code without a name stands for itself; in French one without a French name has the English one."""
+    return _named(code, CODE_NAMES if language == "en" else {**CODE_NAMES, **CODE_NAMES_FR})
+
+
+def category_names(cats: Column, language: str = "en") -> Column:
+    """Names of category letters, joined."""
+    return F.array_join(F.transform(cats, lambda c: _named(c, CATEGORY_NAMES[language])), ", ")
 
 
-def people(population: Column) -> Column:
+def people(population: Column, language: str = "en") -> Column:
     """With thousands separators, "unknown" where there are none."""
-    return F.when(F.coalesce(population, F.lit(0)) > 0, F.format_number(population, 0)).otherwise("unknown")
+    return F.when(F.coalesce(population, F.lit(0)) > 0, F.format_number(population, 0)).otherwise("unknown" if language == "en" else "inconnue")
 
 
-def place_lines(pool: DataFrame, by: list[str], k: int) -> DataFrame:
+def place_lines(pool: DataFrame, by: list[str], k: int, language: str = "en") -> DataFrame:
     """The first k candidates of each pool as numbered lines, with their ids in the same order."""
-    line = F.concat_ws("", F.col("name"), F.lit(" — "), code_name(F.col("feature_code")), F.lit(", "), F.coalesce("country_code", F.lit("")), F.lit(", "), people(F.col("population")))
+    line = F.concat_ws("", F.col("name"), F.lit(" — "), code_name(F.col("feature_code"), language), F.lit(", "), F.coalesce("country_code", F.lit("")), F.lit(", "), people(F.col("population"), language))
     first = pool.where(F.col("pool_rank") <= k).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pool_rank", "geonameid", line.alias("line")))).alias("c"))
     lines = F.array_join(F.transform("c", lambda c, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), c["line"])), "\n")
     return first.select(*by, lines.alias("lines"), F.transform("c", lambda c: c["geonameid"]).alias("ids"))
 
 
-def term_lines(candidates: DataFrame, names: DataFrame, by: list[str], k: int) -> DataFrame:
-    """L2: the first k candidates ``(rank, id)`` of each group as numbered lines with their names ``(id, ord, name)``, and their ids."""
+def term_lines(candidates: DataFrame, names: DataFrame, by: list[str], k: int, categories: DataFrame | None = None, language: str = "en") -> DataFrame:
+    """L2: the first k candidates ``(rank, id)`` of each group as numbered lines with names ``(id, ord, name)`` and categories ``(id, cats)``, and their ids."""
     spoken = names.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("names"))
-    line = F.concat_ws(" — ", "id", F.array_join(F.transform("names", lambda x: x["name"]), " | "))
+    parts = F.coalesce(F.transform("names", lambda x: x["name"]), F.array().cast("array<string>"))
     first = candidates.where(F.col("rank") <= k).join(spoken, "id", "left")
+    if categories is not None:
+        own = categories.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cats")))).alias("cats"))
+        first = first.join(own, "id", "left")
+        word = "category: " if language == "en" else "catégorie : "
+        parts = F.when(F.size("cats") > 0, F.array_append(parts, F.concat(F.lit(word), category_names(F.col("cats"), language)))).otherwise(parts)
+    line = F.concat_ws(" — ", "id", F.nullif(F.array_join(parts, " | "), F.lit("")))
     first = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "id", line.alias("line")))).alias("c"))
     lines = F.array_join(F.transform("c", lambda c, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), c["line"])), "\n")
     return first.select(*by, lines.alias("lines"), F.transform("c", lambda c: c["id"]).alias("ids"))
@@ -80,8 +128,8 @@ def strain_choice(candidates: DataFrame, names: DataFrame, by: list[str]) -> Dat
     return first.select(*by, F.col("b.id").alias("id"))
 
 
-def prompt(mention: Column, context: Column, lines: Column, config: RerankConfig) -> Column:
-    """The question in the configured language, with the bounded context and the closed list."""
+def prompt(mention: Column, context: Column, lines: Column, config: RerankConfig, kind: str = "") -> Column:
+    """The question in the configured language, with the bounded context, the closed list and the rules of a kind of mention."""
     if config.language == "fr":
         head, ctx, ask = "Mention : ", "\nContexte : ", "\nCandidats :\n"
         tail = "\nRéponds par le seul numéro du bon candidat"
@@ -90,6 +138,7 @@ def prompt(mention: Column, context: Column, lines: Column, config: RerankConfig
         head, ctx, ask = "Mention: ", "\nContext: ", "\nCandidates:\n"
         tail = "\nReply with the number of the right candidate only"
         none = ", or -1 if none is right." if config.allow_abstain else "."
+    tail = RULES.get((kind, config.language), "") + tail
     return F.concat(F.lit(head), mention, F.lit(ctx), F.substring(F.coalesce(context, F.lit("")), 1, config.context_chars), F.lit(ask), lines, F.lit(tail + none))
 
 

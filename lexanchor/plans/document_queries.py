@@ -14,7 +14,7 @@ from lexanchor.operators import vocabulary as V
 from lexanchor.plans import fragments as S
 from lexanchor.plans import link_queries as L
 from lexanchor.plans.registry import Registry
-from lexanchor.plans.text_queries import LATEST, STRAIN_SQL, latest_texts, mentions
+from lexanchor.plans.text_queries import LATEST, latest_texts, mentions
 from lexanchor.session import table
 
 REGISTRY = Registry()
@@ -251,17 +251,6 @@ def c6_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("doc_idx", F.array_join(parts, " ~ ").alias("entities"), F.size("entities").cast("long").alias("n_entities"))
 
 
-@REGISTRY.add(
-    "c7_strain",
-    f"""WITH {LATEST}, m AS (SELECT doc_idx, min(mention_id) AS mention_id FROM entities WHERE label = 'PATHOGEN' AND regexp_matches(lower(text), 'virus|bacter') GROUP BY doc_idx)
-    SELECT doc_idx, mention_id FROM latest JOIN m USING (doc_idx) WHERE regexp_matches(text, '{STRAIN_SQL}', 'i')""",
-)
-def c7_strain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In documents with a strain marker the first mention whose names hold a strain word."""
-    hits = mentions(spark, sf_dir).where("label = 'PATHOGEN'").where(F.lower("text").rlike("virus|bacter")).groupBy("doc_idx").agg(F.min("mention_id").alias("mention_id"))
-    return latest_texts(spark, sf_dir).where(F.col("text").rlike(T.STRAIN)).join(hits, "doc_idx").select("doc_idx", "mention_id")
-
-
 # --- validation
 
 FAULTY = """faulty AS (SELECT DISTINCT doc_idx, ent_idx, mention_id, text, label, start_pos, end_pos, CASE WHEN mention_id % 7 = 0 THEN concat(text, ' ') ELSE text END AS pred_text, label AS pred_label,
@@ -463,21 +452,6 @@ def l1_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.place_lines(L.exact_pool(spark, sf_dir), ["key", "wants_admin"], 5).select("key", "wants_admin", "lines")
 
 
-@REGISTRY.add(
-    "l2_prompt",
-    f"""WITH {L.TERMS}, c AS (SELECT DISTINCT key, ui FROM entries), n AS (SELECT dui AS ui, min(name) AS name FROM descriptors WHERE dui IS NOT NULL GROUP BY dui),
-    r AS (SELECT key, ui, name, row_number() OVER (PARTITION BY key ORDER BY ui) AS r FROM c JOIN n USING (ui))
-    SELECT key, string_agg(concat('[', r - 1, '] ', ui, ' — ', coalesce(name, '')), chr(10) ORDER BY r) AS lines FROM r WHERE r <= 10 GROUP BY key""",
-)
-def l2_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L2: the first ten descriptors of each term as numbered lines."""
-    rows = L.entries(spark, sf_dir).select("key", "ui").distinct()
-    named = table(spark, sf_dir, "descriptors").where("dui is not null").groupBy(F.col("dui").alias("ui")).agg(F.min("name").alias("name"))
-    r = C.ranked(rows.join(named, "ui"), ["key"], [F.col("ui")], "r").where("r <= 10")
-    line = F.concat(F.lit("["), (F.col("r") - 1).cast("string"), F.lit("] "), "ui", F.lit(" — "), F.coalesce("name", F.lit("")))
-    return r.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
-
-
 def length_model(text: str, n: int) -> str:
     """A stub that answers by the prompt's length, so that SQL can say the same."""
     k = len(text) % (n + 2)

@@ -128,18 +128,6 @@ def e8_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ui", "name", F.coalesce(F.array_join(kept, "; ")).alias("synonyms")).distinct()
 
 
-@REGISTRY.add(
-    "e9_coverage",
-    f"""WITH {S.PLACES}, m AS (SELECT DISTINCT id_kb FROM entities WHERE source = 'GeoNames' AND regexp_matches(id_kb, '^\\d{{1,12}}$'))
-    SELECT (SELECT count(*) FROM m) AS n_ids, (SELECT count(*) FROM m WHERE id_kb IN (SELECT geonameid FROM places)) AS n_known,
-      (SELECT count(*) FROM m WHERE id_kb NOT IN (SELECT geonameid FROM places)) AS n_unknown""",
-)
-def e9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "entities").where("source = 'GeoNames'").where(F.col("id_kb").rlike(T.GEO_ID)).select(F.col("id_kb").alias("geonameid")).distinct()
-    known = ids.join(places(spark, sf_dir).select("geonameid", F.lit(True).alias("known")), "geonameid", "left")
-    return known.agg(F.count("*").alias("n_ids"), F.count("known").alias("n_known"), F.count_if(F.col("known").isNull()).alias("n_unknown"))
-
-
 @REGISTRY.add("a14_counts", " UNION ALL ".join(f"SELECT '{t}' AS tbl, count(*) AS n FROM {t}" for t in ("locations", "place_names", "descriptors", "supplementals", "entities")))
 def a14_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
@@ -189,14 +177,14 @@ _TIER = f"""CASE WHEN {S.isin("feature_code", P.COUNTRY_CODES)} THEN 0 WHEN want
   WHEN coalesce(population, 0) > 0 AND coalesce(feature_code, '') <> 'ADM3' THEN 2 WHEN coalesce(population, 0) > 0 THEN 3 ELSE 4 END"""
 
 
-def choose_sql(pool: str, by: str) -> str:
+def choose_sql(pool: str, by: str, tier: str = _TIER) -> str:
     """R2 to R4 and J9 over a pool: CTEs ending in ``chosen(by..., first_choice, geonameid, n_candidates)``."""
     cols = ", ".join(P.PLACE_COLUMNS)
     near = S.haversine("c_latitude", "c_longitude", "latitude", "longitude") + " < 5.0"
     best = "arg_max(geonameid, {{'p': coalesce(population, 0), 'r': -pool_rank}}) FILTER (same AND {cond})"
     fields = ", ".join(f"max(CASE WHEN h = 1 THEN {c} END) OVER (PARTITION BY {by}) AS c_{c}" for c in P.PLACE_COLUMNS)
     return f"""h1 AS (SELECT {by}, {cols}, pool_rank, count(*) OVER (PARTITION BY {by}) AS n,
-        row_number() OVER (PARTITION BY {by} ORDER BY {_TIER}, CASE WHEN {_TIER} < 4 THEN -coalesce(population, 0) ELSE 0 END, pool_rank) AS h FROM {pool}),
+        row_number() OVER (PARTITION BY {by} ORDER BY {tier}, CASE WHEN {tier} < 4 THEN -coalesce(population, 0) ELSE 0 END, pool_rank) AS h FROM {pool}),
       h2 AS (SELECT *, {fields} FROM h1),
       h3 AS (SELECT *, CASE WHEN c_latitude IS NOT NULL AND c_longitude IS NOT NULL THEN latitude IS NOT NULL AND longitude IS NOT NULL AND {near}
         ELSE country_code IS NOT DISTINCT FROM c_country_code AND lower(trim(split_part(name, ',', 1))) IS NOT DISTINCT FROM lower(trim(split_part(c_name, ',', 1))) END AS same FROM h2),
@@ -259,19 +247,6 @@ def r8_gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.join(pool, ["key", "gold_id"], "left").select("key", "gold_id", F.coalesce("r", F.lit(-1).cast("long")).alias("gold_rank"))
 
 
-@REGISTRY.add(
-    "a9_ambiguity",
-    f"""{BASE}, c AS (SELECT mention, count(geonameid) AS n FROM mkeys LEFT JOIN names USING (key) GROUP BY mention)
-    SELECT CASE WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '>20' END AS bucket, count(*) AS n_mentions FROM c GROUP BY 1""",
-)
-def a9_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = place_mentions(spark, sf_dir).select("mention", T.normalize("mention").alias("key"))
-    sizes = names(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    bucket = F.when(n == 0, "0").when(n == 1, "1").when(n <= 5, "2-5").when(n <= 20, "6-20").otherwise(">20")
-    return keys.join(sizes, "key", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_mentions"))
-
-
 @REGISTRY.add(
     "j3_idlist",
     f"""WITH {S.PLACES}, lists AS (SELECT DISTINCT key AS mention, unnest(ids) AS geonameid, generate_subscripts(ids, 1) - 1 AS pos FROM (

@@ -124,8 +124,9 @@ class EntityLinker:
     where neither memory nor the filter has spoken; a missing context counts as empty.
     """
 
-    def __init__(self, kb: KnowledgeBase, config: LinkerConfig | None = None, model: R.Model | None = None):
+    def __init__(self, kb: KnowledgeBase, config: LinkerConfig | None = None, model: R.Model | None = None, rules: bool = True):
         self.kb, self.config, self.model = kb, config or LinkerConfig(), model
+        self.rules = rules  # whether prompts say how to choose
         if self.config.rerank.enabled and model is None:
             raise ValueError("reranking is enabled, but there is no model")
 
@@ -133,10 +134,10 @@ class EntityLinker:
         """``(mention, context, id)``: the model's choice is reconciled, abstaining gives "", the heuristic's stands without a reply."""
         config = self.config.rerank
         numbered = C.ranked(pool, by, [F.col("pool_order")], "pool_rank")
-        lists = R.place_lines(numbered, by, config.max_candidates).join(numbered.where("pool_rank = 2").select(*by), by, "left_semi")
+        lists = R.place_lines(numbered, by, config.max_candidates, config.language).join(numbered.where("pool_rank = 2").select(*by), by, "left_semi")
         mine = asked.join(first.select("mention", *by), "mention")
         questions = mine.join(lists, by).select(
-            "mention", "context", R.prompt(F.col("mention"), F.col("context"), F.col("lines"), config).alias("prompt"),
+            "mention", "context", R.prompt(F.col("mention"), F.col("context"), F.col("lines"), config, "place" if self.rules else "").alias("prompt"),
             F.size("ids").alias("n"), "ids", F.lit(None).cast("string").alias("fallback"),
         )
         replies = cut_lineage(R.rerank(questions, self.model, config, ["mention", "context"]).withColumnRenamed("id", "picked"))
@@ -167,9 +168,9 @@ class EntityLinker:
         names = self.kb.map("term_names", self.config)
         listed = C.ranked(candidates.groupBy(*by, "id").agg(F.min("ord").alias("ord")), by, [F.col("ord"), F.col("id")], "rank")
         forced = R.strain_choice(listed, names, by)
-        lists = R.term_lines(listed.join(forced, by, "left_anti"), names, by, config.max_candidates)
+        lists = R.term_lines(listed.join(forced, by, "left_anti"), names, by, config.max_candidates, self.kb.bilingual, config.language)
         questions = lists.select(
-            *by, R.prompt(F.col("mention"), F.col("context"), F.col("lines"), config).alias("prompt"),
+            *by, R.prompt(F.col("mention"), F.col("context"), F.col("lines"), config, "term" if self.rules else "").alias("prompt"),
             F.size("ids").alias("n"), "ids", F.lit(None).cast("string").alias("fallback"),
         )
         chosen = R.rerank(questions, self.model, config, by).where("status = 'chosen'").select(*by, "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Iterator
 
@@ -56,14 +57,19 @@ def write_predictions(documents: DataFrame, folder: str) -> None:
     rows.mapInPandas(_rendered, "value string").write.mode("overwrite").text(folder)
 
 
-def merge_predictions(spark: SparkSession, folder: str, path: str) -> int:
-    """The lines of a folder as one JSON array file, indented, streamed document by document; returns their number."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
+def _opened(spark: SparkSession, path: str):
+    """A writer of UTF-8 text to a file on whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark._jsc.hadoopConfiguration())
     system.setWriteChecksum(False)  # the file may be edited by hand
     out = spark._jvm.java.io.OutputStreamWriter(system.create(target, True), "UTF-8")
     system.setWriteChecksum(True)
+    return out
+
+
+def merge_predictions(spark: SparkSession, folder: str, path: str) -> int:
+    """The lines of a folder as one JSON array file, indented, streamed document by document; returns their number."""
+    out = _opened(spark, path)
     lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
     n = 0
     out.write("[")
@@ -79,3 +85,25 @@ def merge_predictions(spark: SparkSession, folder: str, path: str) -> int:
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+PAGE = """<!doctype html><html lang="en"><meta charset="utf-8"><title>{title}</title>
+<style>body{{font-family:sans-serif}}mark{{background:#fd6}}td,th{{text-align:left;vertical-align:top;padding:4px}}</style>
+<h1>{title}</h1><p>{counts}</p><p>Filter: <input oninput="for(const r of document.querySelectorAll('tbody tr'))r.hidden=!r.textContent.toLowerCase().includes(this.value.toLowerCase())"></p>
+<table><thead><tr>{head}</tr></thead><tbody>
+{rows}
+</tbody></table></html>
+"""
+
+
+def write_report(rows: DataFrame, path: str, title: str, count_by: str, ready: tuple[str, ...] = (), most: int = 5000) -> int:
+    """A standalone page of at most ``most`` rows in their order, with counts and a filter; columns of ``ready`` are HTML already."""
+    counts = ", ".join(f"{html.escape(str(r[0]))}: {r[1]}" for r in rows.groupBy(count_by).count().orderBy(F.col("count").desc(), count_by).collect())
+    lines = []
+    for row in rows.limit(most).collect():
+        cells = zip(rows.columns, ("" if v is None else str(v) for v in row), strict=True)
+        lines.append("<tr>" + "".join(f"<td>{v if c in ready else html.escape(v)}</td>" for c, v in cells) + "</tr>")
+    out = _opened(rows.sparkSession, path)
+    out.write(PAGE.format(title=html.escape(title), counts=counts, head="".join(f"<th>{html.escape(c)}</th>" for c in rows.columns), rows="\n".join(lines)))
+    out.close()
+    return len(lines)

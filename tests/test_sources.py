@@ -2,6 +2,7 @@ import json
 import zipfile
 
 from lexanchor.sources import readers as R
+from lexanchor.sources import remote
 from lexanchor.sources import writers as W
 from tests.conftest import rows
 
@@ -72,3 +73,39 @@ def test_exonyms_and_dimension(spark, tmp_path):
     df = spark.createDataFrame([("1", "b", 2), ("1", "a", 1), ("2", "c", 3)], "id string, v string, pos int")
     W.write_dimension(W.first_wins(df, "id", "pos"), str(tmp_path / "dim"), "id", 2)
     assert rows(spark.read.parquet(str(tmp_path / "dim"))) == [("1", "a"), ("2", "c")]
+
+
+def test_downloads_and_searches_are_injected(spark, tmp_path):
+    import io
+
+    opened = []
+
+    def fetch(address):
+        opened.append(address)
+        return io.BytesIO(b"x" * 10)
+
+    there = tmp_path / "there.zip"
+    there.write_text("old")
+    sources = [("http://a", str(tmp_path / "new" / "a.zip")), ("http://b", str(there))]
+    assert remote.download(sources, fetch) == [sources[0][1]] and opened == ["http://a"]
+    assert remote.download(sources, fetch) == [] and there.read_text() == "old"
+    places = spark.createDataFrame([(str(k), "R" if k == 2 else "P") for k in range(9)], "geonameid string, feature_class string")
+    found = {"rd congo": ["Q1", "Q2", "Q3", "Q4"], "none": []}
+
+    def search(key):
+        return found[key]  # fails for other keys
+
+    def claims(ids):
+        return {"Q1": ["3", "2", "3"], "Q2": ["99", "1"], "Q3": ["5", "6", "7", "8"], "Q4": ["4"]}
+
+    asked = spark.createDataFrame([("rd congo",), ("none",), ("fails",), (None,), ("rd congo",)], "key string")
+    assert rows(remote.searched_exonyms(asked, places, search, claims)) == [("rd congo", k, i) for k, i in enumerate(["3", "1", "5", "6", "7"])]
+
+
+def test_report_page(spark, tmp_path):
+    df = spark.createDataFrame([("MISSED", "a <b>", "x <mark>y</mark>"), ("MISSED", None, ""), ("OTHER", "c", "")], "error string, mention string, html string")
+    path = tmp_path / "r.html"
+    assert W.write_report(df.orderBy("error", "mention"), str(path), "Errors & more", "error", ("html",)) == 3
+    page = path.read_text()
+    assert "MISSED: 2, OTHER: 1" in page and "a &lt;b&gt;" in page and "x <mark>y</mark>" in page and "Errors &amp; more" in page
+    assert W.write_report(df, str(path), "t", "error", (), 1) == 1

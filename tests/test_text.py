@@ -109,3 +109,9 @@ def test_signs_of_a_wrong_decoding(spark):
     yes = ["Ã©", "Ã¨", "Ãª", "Ã b", "Ã§", "Â°", "Â«", "Â»", "â\x80\x99"]
     df = spark.createDataFrame([(f"x{t}", True) for t in yes] + [(t, False) for t in ("Ã", "Âge", "â€™", "été", None)], "text string, want boolean")
     assert df.where(T.looks_garbled("text") != F.col("want")).count() == 0
+
+
+def test_marked_spans(spark):
+    df = spark.createDataFrame([("ab<c> d", "[0, 5]", "[2, 99]"), ("ab", "1", "2"), ("ab", None, "1"), ("ab", "[0,1]", "[2]")], "text string, s string, e string")
+    found = df.select(T.highlight("text", T.spans("s", "e")).alias("h")).collect()
+    assert [r.h for r in found] == ["<mark>ab</mark>&lt;c&gt;<mark> d</mark><mark></mark>", "a<mark>b</mark>", None, "<mark>ab</mark>"]
