@@ -62,16 +62,20 @@ def candidate_pool(keys: DataFrame, names: DataFrame, places: DataFrame, by: lis
     return rank_pool(keys.join(names, "key").join(places, "geonameid"), by or ["key"])
 
 
-def rank_pool(found: DataFrame, by: list[str]) -> DataFrame:
-    """R1 of candidates that are joined already."""
-    kept = F.coalesce(F.col("feature_code").isin(*KEPT_CODES), F.lit(False))
-    found = found.withColumn("kept", kept)
-    people = F.col("population").desc_nulls_last()
+def rank_pool(found: DataFrame, by: list[str], salts: int = 64) -> DataFrame:
+    """R1 of candidates that are joined already.
+
+    Salted parts of a group are cut to the pool's size first, so that no task sees a whole one;
+    what is beyond that size in its part is so in the group.
+    """
+    order = [F.col("population").desc_nulls_last(), F.col("geonameid")]
+    found = found.withColumns({"kept": F.coalesce(F.col("feature_code").isin(*KEPT_CODES), F.lit(False)), "_salt": F.pmod(F.xxhash64("geonameid"), F.lit(salts))})
+    parts = C.ranked(found, [*by, "_salt"], order, "_r").where(F.col("kept") | (F.col("_r") <= POOL_SIZE)).drop("_r", "_salt")
     w = Window.partitionBy(*by)
     return (
-        found.withColumn("_all", F.row_number().over(w.orderBy(people, "geonameid")))
+        parts.withColumn("_all", F.row_number().over(w.orderBy(*order)))
         .where(F.col("kept") | (F.col("_all") <= POOL_SIZE))
-        .withColumn("pool_rank", F.row_number().over(w.orderBy(F.col("kept").desc(), people, "geonameid")))
+        .withColumn("pool_rank", F.row_number().over(w.orderBy(F.col("kept").desc(), *order)))
         .withColumn("pool_order", F.col("pool_rank"))
         .drop("_all")
     )

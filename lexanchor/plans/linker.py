@@ -274,6 +274,12 @@ class EntityLinker:
         source = F.when(id_kb == "", "").when(F.col("label") == "LOCATION", "GeoNames").otherwise("MeSH")
         return rows.withColumns({"id_kb": id_kb, "source": source, "decision": decision}).drop("_key", "_memory", "_context", "id")
 
+    def link_entity(self, text: str, label: str, context: str | None = None) -> tuple[str, str]:
+        """Id and source of one mention; ('', '') for none."""
+        one = self.kb.places.sparkSession.createDataFrame([(text, label, context)], "text string, label string, context string")
+        row = self.link(one).first()
+        return row["id_kb"], row["source"]
+
     def process_documents(self, corpus: DataFrame) -> DataFrame:
         """Documents ``(doc_idx, text, entities)`` with every mention linked, acronyms propagated, order kept."""
         flat = corpus.select("doc_idx", F.posexplode("entities").alias("ent_idx", "e")).select("doc_idx", "ent_idx", "e.*")

@@ -123,19 +123,21 @@ def t18_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.add(
     "m1_haversine",
-    f"""WITH {S.PLACES} SELECT a.geonameid AS id_a, b.geonameid AS id_b, round({S.haversine('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 3) AS km
-    FROM places a JOIN places b ON a.name = b.name AND a.geonameid < b.geonameid
-      AND isfinite(a.latitude) AND isfinite(a.longitude) AND isfinite(b.latitude) AND isfinite(b.longitude)""",
+    f"""WITH {S.PLACES}, p AS (SELECT * FROM places WHERE name IS NOT NULL AND isfinite(latitude) AND isfinite(longitude)),
+    h AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY population DESC NULLS LAST, geonameid) AS r FROM p)
+    SELECT p.geonameid, h.geonameid AS hub, round({S.haversine('h.latitude', 'h.longitude', 'p.latitude', 'p.longitude')}, 3) AS km FROM p JOIN h USING (name) WHERE h.r = 1 AND p.geonameid <> h.geonameid""",
 )
 def m1_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: how far each place is from the most populous of its name; homonyms meet that one only."""
     from lexanchor.functions.geo import finite
     from lexanchor.operators.places import place_dimension
 
-    p = place_dimension(table(spark, sf_dir, "locations")).where(finite(F.col("latitude")) & finite(F.col("longitude")))
-    a = p.select(F.col("geonameid").alias("id_a"), "name", F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"))
-    b = p.select(F.col("geonameid").alias("id_b"), "name", F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"))
-    km = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(b, "name").where("id_a < id_b").select("id_a", "id_b", F.round(km, 3).alias("km"))
+    p = place_dimension(table(spark, sf_dir, "locations")).where("name is not null").where(finite(F.col("latitude")) & finite(F.col("longitude")))
+    people = F.struct(F.col("population").isNull().alias("u"), (-F.coalesce("population", F.lit(0))).alias("p"), "geonameid", "latitude", "longitude")
+    hubs = p.groupBy("name").agg(F.min(people).alias("h"), F.count("*").alias("n")).where("n > 1").select("name", "h")
+    km = haversine_km(F.col("h.latitude"), F.col("h.longitude"), F.col("latitude"), F.col("longitude"))
+    both = p.join(hubs, "name").where(F.col("geonameid") != F.col("h.geonameid"))
+    return both.select("geonameid", F.col("h.geonameid").alias("hub"), F.round(km, 3).alias("km"))
 
 
 STRAIN_SQL = r"(?:^|[^\p{L}\p{N}_\p{M}])(?:souche|s[eé]rotype|strain|ehec|epec|stec|ehe|o1\d{2,3}|o\d{1,2}[:\-]?h\d+|h\d+n\d+)(?:$|[^\p{L}\p{N}_\p{M}])"

@@ -53,6 +53,11 @@ def test_whole_cascade(spark):
     assert got["quartier nord", "LOCATION"][1] == "memory" and got["quartier sud", "LOCATION"][1] == "nil"
 
 
+def test_one_mention(spark):
+    linker = EntityLinker(knowledge(spark))
+    assert linker.link_entity("Hexagone", "LOCATION") == ("100", "GeoNames") and linker.link_entity("zz", "LOCATION") == ("", "")
+
+
 def test_switches(spark):
     got = link(spark, LinkerConfig(use_memory=False, test_informed=True))
     assert got["quartier nord", "LOCATION"] == ("", "nil")  # without memory the filter speaks
