@@ -78,6 +78,21 @@ HAS_SEQUENCE = {name: re.compile(_sequences(table)) for name, table in TO_BYTE.i
 HAS_ANY = re.compile("|".join(_sequences(table) for table in TO_BYTE.values()))
 
 
+def _either() -> str:
+    """Whatever HAS_ANY finds this finds too, with one class of characters each for all encodings."""
+    pairs = [(c, b) for table in TO_BYTE.values() for c, b in table.items()]
+    leads, following = ({c for c, b in pairs if low <= b <= high} for low, high in ((0xC2, 0xF4), (0x80, 0xBF)))
+    return f"[{re.escape(''.join(sorted(leads)))}][{re.escape(''.join(sorted(following)))}]"
+
+
+_MAY_HAVE = re.compile(_either())
+
+
+def has_sequence(text: str) -> bool:
+    """Whether two characters stand together whose bytes may begin a UTF-8 sequence."""
+    return _MAY_HAVE.search(text) is not None and HAS_ANY.search(text) is not None
+
+
 def _utf8_run(run: str, table: dict[str, int]) -> str:
     """The run with every valid UTF-8 sequence of the characters' bytes decoded."""
     codes = [table.get(c, 0) for c in run]
@@ -99,7 +114,7 @@ def _utf8_run(run: str, table: dict[str, int]) -> str:
 
 def undo_utf8(text: str) -> str:
     """UTF-8 read as a single-byte encoding, undone by the first encoding that explains the text; no model."""
-    if text.isascii() or not HAS_ANY.search(text):
+    if text.isascii() or not has_sequence(text):
         return text
     for encoding in READ_AS:
         if not HAS_SEQUENCE[encoding].search(text):
@@ -121,7 +136,7 @@ def mask_garbled(text: str, mask: str = "e") -> str:
     if text.isascii():
         return text
     text = re.sub("[Ãã]\xa0", mask, text)
-    if not HAS_ANY.search(text):
+    if not has_sequence(text):
         return text
     for encoding in READ_AS:
         if not HAS_SEQUENCE[encoding].search(text):
@@ -186,7 +201,7 @@ def undo_any(text: str) -> str:
 
 def may_be_utf8(plain: str) -> bool:
     """Whether any chain of UTF-8 can apply to the word, as it is or lower-cased after the wrong decoding."""
-    return bool(HAS_ANY.search(plain) or HAS_ANY.search(plain.upper()) or plain.endswith(("Ã", "ã")))
+    return bool(has_sequence(plain) or has_sequence(plain.upper()) or plain.endswith(("Ã", "ã")))
 
 
 def candidates(word: str, utf8: bool = True, single: bool = True) -> dict[str, str]:
@@ -355,7 +370,7 @@ def restore_text(model: Model, text: str) -> tuple[str, bool]:
 def _looks_clean(text: str) -> bool:
     if _UNCLEAN.search(text) is not None:
         return False
-    return not HAS_ANY.search(text) or all(
+    return not has_sequence(text) or all(
         _RUN.sub(lambda m, t=TO_BYTE[e]: _utf8_run(m.group(), t), text) == text for e in ("cp1252", "mac_roman", "cp437")
     )
 
