@@ -131,8 +131,9 @@ def main(argv: list[str] | None = None) -> int:
         bilingual, maps = None, {}
         if args.bilingual:
             records = readers.read_bilingual(spark, args.bilingual)
-            cats = records.select("id", F.coalesce("cat", F.array().cast("array<string>")).alias("cats"))
-            bilingual = V.twin_index(readers.bilingual_terms(records)).join(cats, "id")
+            named = V.bilingual_names(records)
+            bilingual = V.twin_index(readers.bilingual_terms(records)).join(named.select("id", "cats"), "id")
+            maps["term_names"] = V.spoken_names(named)
         if args.train:
             rows = readers.corpus_entities(readers.read_corpus(spark, args.train)).where("text is not null")
             rows = rows.select(T.normalize("text").alias("key"), "label", "id_kb", F.struct("doc_idx", "ent_idx").alias("at"))

@@ -49,6 +49,26 @@ def twin_index(terms: DataFrame) -> DataFrame:
     return both.where("key <> ''").groupBy("key", "id").agg(F.min("ord").alias("ord"))
 
 
+def bilingual_names(records: DataFrame) -> DataFrame:
+    """``(id, fr, en, synonyms, synonyms_en, cats)``: of the first three and two synonyms those that aren't empty."""
+
+    def first(name: str, n: int) -> Column:
+        listed = F.slice(F.coalesce(name, F.array().cast("array<string>")), 1, n)
+        return F.filter(listed, lambda x: x.isNotNull() & (x != ""))
+
+    blank = F.lit("")
+    return records.select(
+        "id", F.coalesce("trx", blank).alias("fr"), F.coalesce("eng", blank).alias("en"), first("xtr_cs", 3).alias("synonyms"), first("xtr_en", 2).alias("synonyms_en"),
+        F.coalesce("cat", F.array().cast("array<string>")).alias("cats"),
+    )
+
+
+def spoken_names(named: DataFrame) -> DataFrame:
+    """``(id, ord, name)`` of E8 for prompts and the strain rule: both names, then the synonyms, none twice."""
+    every = F.array_distinct(F.filter(F.concat(F.array("fr", "en"), "synonyms", "synonyms_en"), lambda x: x != ""))
+    return named.select("id", F.posexplode(every).alias("ord", "name"))
+
+
 def term_stages(mentions: DataFrame) -> DataFrame:
     """The four keys of distinct mentions: normal, unaccented, Greek by name, and both."""
     norm = mentions.select("mention", T.normalize("mention").alias("norm"))

@@ -285,6 +285,37 @@ def j11_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.violations(faulty(spark, sf_dir))
 
 
+_ROWS = "rws AS (SELECT *, row_number() OVER (PARTITION BY doc_idx ORDER BY ent_idx, mention_id) - 1 AS pos FROM faulty JOIN latest_ids USING (doc_idx)), even AS (SELECT * FROM rws WHERE doc_idx % 10 <> 0)"
+_EVEN = VIOLATIONS.replace("FROM faulty", "FROM even").replace("doc_idx, ent_idx, mention_id,", "doc_idx, pos,")
+
+
+@REGISTRY.add(
+    "v4_compared",
+    f"""WITH {LATEST}, latest_ids AS (SELECT doc_idx FROM latest WHERE text IS NOT NULL), {FAULTY}, {_ROWS}, {_EVEN}
+    SELECT doc_idx, CAST(NULL AS INT) AS ent_idx, 'H3' AS rule FROM latest WHERE text IS NOT NULL AND doc_idx % 9 = 0
+    UNION ALL SELECT doc_idx, NULL, 'H4' FROM latest WHERE text IS NOT NULL AND doc_idx % 10 = 0 AND doc_idx IN (SELECT doc_idx FROM rws)
+    UNION ALL SELECT doc_idx, CAST(pos AS INT), rule FROM viol""",
+)
+def v4_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents beside predictions of them, joined by position; every ninth text is changed, and every tenth document lacks its last mention."""
+    docs = latest_texts(spark, sf_dir).where("text is not null")
+    rows = faulty(spark, sf_dir)
+
+    def nested(prefix: str, ids: tuple[str, str]) -> DataFrame:
+        e = F.struct(F.col(f"{prefix}text").alias("text"), F.col(f"{prefix}label").alias("label"), F.col(f"{prefix}start_pos").alias("start"), F.col(f"{prefix}end_pos").alias("end"), F.col(ids[0]).alias("id_kb"), F.col(ids[1]).alias("source"))
+        return rows.groupBy("doc_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("ent_idx", "mention_id", e.alias("e")))), lambda x: x["e"]).alias("entities"))
+
+    gold = docs.join(nested("", ("pred_id", "pred_source")), "doc_idx", "left")
+    predicted = docs.join(nested("pred_", ("pred_id", "pred_source")), "doc_idx", "left").withColumns(
+        {
+            "text": F.when(F.col("doc_idx") % 9 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")),
+            "entities": F.when((F.col("doc_idx") % 10 == 0) & (F.size("entities") > 0), F.slice("entities", F.lit(1), F.size("entities") - 1)).otherwise(F.col("entities")),
+        }
+    )
+    wrong, pairs = D.compared(gold, predicted)
+    return wrong.unionByName(D.violations(pairs))
+
+
 @REGISTRY.add("v14_report", f"WITH {FAULTY}, {VIOLATIONS} SELECT rule, count(*) AS n FROM viol GROUP BY rule")
 def v14_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.violations(faulty(spark, sf_dir)).groupBy("rule").agg(F.count("*").alias("n"))

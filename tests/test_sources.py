@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+from lexanchor.operators import vocabulary as V
 from lexanchor.sources import readers as R
 from lexanchor.sources import remote
 from lexanchor.sources import writers as W
@@ -48,6 +49,14 @@ def test_bilingual(spark, tmp_path):
     assert rows(R.bilingual_terms(R.read_bilingual(spark, str(path))).select("id", "ord", "term")) == [("D1", 0, "rage"), ("D1", 1, "Rabies"), ("D1", 2, "la rage")]
 
 
+def test_bilingual_names(spark, tmp_path):
+    path = tmp_path / "b.json"
+    path.write_text(json.dumps([{"db": "mesh", "id": "D1", "trx": "rage", "eng": "Rabies", "xtr_cs": ["la rage", "", "lyssa", "late"], "xtr_en": ["", "Lyssa", "late"], "cat": ["c"]}, {"db": "mesh", "id": "D2", "eng": "x"}]))
+    named = V.bilingual_names(R.read_bilingual(spark, str(path)))
+    assert rows(named) == [("D1", "rage", "Rabies", ["la rage", "lyssa"], ["Lyssa"], ["c"]), ("D2", "", "x", [], [], [])]
+    assert rows(V.spoken_names(named)) == [("D1", k, n) for k, n in enumerate(["rage", "Rabies", "la rage", "lyssa", "Lyssa"])] + [("D2", 0, "x")]
+
+
 def test_corpus_round_trip(spark, tmp_path):
     docs = [
         {"text": "Été à Aix", "entities": [{"text": "Aix", "label": "LOCATION", "start": [6], "end": [9], "id_kb": "1", "source": "GeoNames"}]},
